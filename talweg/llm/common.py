@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +85,65 @@ def running_total(df: DataFrame, key: str, order: str, value: str, out: str, tie
     inner = Window.partitionBy(key, b).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     joined = df.join(sums, F.col(key).eqNullSafe(F.col("__k")) & (F.col(b) == F.col("__b")))
     return joined.withColumn(out, F.col("__base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("__k", "__b", "__base", b)
+
+
+def restricted(df: DataFrame, key: str, keys: DataFrame, row_bytes: int = 16, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the checkpointed one-column ``keys``.
+
+    The keys are counted; up to ``broadcast_bytes`` they are broadcast, beyond they are joined.
+    """
+    small = keys.count() * row_bytes <= broadcast_bytes
+    return df.join(F.broadcast(keys) if small else keys, key, "left_semi")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the (a, b) edges, root the smallest node of its component.
+
+    Distributed union-find by alternating large and small stars: each round hangs
+    the larger neighbours of a node on its smallest neighbour, then the smaller ones.
+    The number of rounds is logarithmic in practice.  Minima are made by partial
+    aggregation, and looked up by joins of checkpointed tables whose hot keys Spark splits.
+    """
+    e = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v != u").distinct()
+    e, before = cut(e), None
+    while True:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if now == before:
+            return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+        before = now
+        both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(e.select(F.col("u").alias("x"), F.col("v").alias("y")))
+        least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
+        large = cut(e.select(F.col("u").alias("x"), "v").join(least, "x").select("v", F.col("m").alias("u")).filter("v != u").distinct())
+        least = cut(large.groupBy("v").agg(F.min("u").alias("m")))
+        small = large.join(least, "v").filter("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        e = cut(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
+
+
+def part_count(rows: int, per_part: int, df: DataFrame) -> int:
+    """Parts so that each holds about ``per_part`` of ``rows``, and no fewer than shuffle partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
+
+
+def dealt(part: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    """Arrays cut by part number: one row a part with the bytes of each array's slice."""
+    order = np.argsort(part, kind="stable")
+    sorted_parts = part[order]
+    begin = np.flatnonzero(np.concatenate([[True], sorted_parts[1:] != sorted_parts[:-1]])) if len(part) else np.zeros(0, np.int64)
+    end = np.concatenate([begin[1:], [len(part)]]).astype(np.int64) if len(part) else begin
+    cols = [pa.array(sorted_parts[begin].astype(np.int32))]
+    for a in arrays:
+        a = a[order]
+        cols.append(pa.array([a[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(cols, names=["part", *(f"a{i}" for i in range(len(arrays)))])
+
+
+def gathered(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
+    """The array whose slices ``dealt`` has sent to one part."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of uint64 values (the finaliser of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))

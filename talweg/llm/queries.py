@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, license_scan, media, mixing, packing, url_filter, warc
+from . import fingerprint, license_scan, line_dedup, media, mixing, packing, toxicity, url_filter, warc
 from .common import scratch, stored
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -22,6 +22,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     manifest = warc.write_archives(warc.mark_revisits(pages), scratch(spark, "warc"))
@@ -41,6 +45,10 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     slim = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), mixing.document_hash(F.col("doc_id")).alias("__h"))
@@ -56,8 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_license": op2_license,
     "op3_fingerprint": op3_fingerprint,
+    "op4_line_dedup": op4_line_dedup,
     "op6_warc": op6_warc,
     "op7_media": op7_media,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
