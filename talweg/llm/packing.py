@@ -14,8 +14,11 @@ pieces; equal rows are packed each for itself.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,46 +30,93 @@ from .common import cut, running_total
 SEQUENCE = 4096
 QUANTUM = 16
 END_ID = 2
-#: Distinct space-separated chunks whose ids a worker keeps.
-CACHE_CHUNKS = 400_000
+#: Strings in one generation of a worker's two caches.
+CACHE_CHUNKS, CACHE_WORDS = 100_000, 200_000
 MAX_PIVOTS = 4000
 
 PIECES = "doc_id {0}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+class _Recent(dict):
+    """The ids of strings seen lately: two generations of a bounded size each."""
+
+    def __init__(self, make, most: int) -> None:
+        super().__init__()
+        self._make, self._most, self._old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self._most:
+            self._old = dict(self)
+            self.clear()
+        got = self._old.get(key)
+        if got is None:
+            got = self._make(key)
+        self[key] = got
+        return got
+
+
 class ChunkTokenizer:
-    """Ids of whole texts as little-endian uint32 bytes, by a cache of chunks.
+    """Ids of whole texts as little-endian uint32 bytes, by caches of chunks and of words.
 
     The tokenizer drops white space and never looks across it, so a text's ids are
-    those of its white-space separated chunks in a row.
+    those of its white-space separated chunks in a row.  In texts of plain Latin letters
+    and marks, chunks are cut into the tokenizer's own words, which recur more often;
+    chunks of other texts go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._cache: dict[str, bytes] = {}
-
-    def _fill(self, chunks: list[str]) -> None:
-        for c, e in zip(chunks, self._tok.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self._cache[c] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self._cache)
-        if new:
-            if len(self._cache) + len(new) > CACHE_CHUNKS:
-                self._cache.clear()
-                new = set().union(*split)
-            self._fill(list(new))
-        get = self._cache.__getitem__
-        out = []
-        for t, s in zip(texts, split, strict=True):
-            if any(c in t for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer
-                out.append(np.array(self._tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(get, s)))
-        return out
+        # fixed value: the tokenizer file's own split pattern
+        self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self._bpe = self._tok.model.tokenize
+        self._word = _Recent(self._of_word, CACHE_WORDS)
+        self._chunk = _Recent(self._of_plain_chunk, CACHE_CHUNKS)
+        self._other = _Recent(self._ids, CACHE_CHUNKS // 10)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _of_word(self, word: str) -> bytes:
+        """The model's ids of a word that is already composed, lower-cased and split off."""
+        ids = [t.id for t in self._bpe("".join(map(_BYTE_CHARS.__getitem__, word.encode())))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _of_plain_chunk(self, chunk: str) -> bytes:
+        """Of a lower-cased chunk of the plain range, which needs no composing."""
+        if chunk.isalpha():
+            return self._word[chunk]
+        if "<|" in chunk:  # may be a special token
+            return self._ids(chunk)
+        return b"".join(map(self._word.__getitem__, self._split(chunk)))
+
+    def encode(self, text: str) -> bytes:
+        if _PLAIN(text):
+            return b"".join(map(self._chunk.__getitem__, text.lower().split()))
+        if _ODD_SPACE(text):  # white space to str.split, not to the tokenizer
+            return self._ids(text)
+        return b"".join(map(self._other.__getitem__, text.split()))
+
+
+def _byte_chars() -> list[str]:
+    """Byte-level BPE's character of each byte: printable ones stand for themselves, the rest follow from 256."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+# letters here are composed already and lower-cased one by one
+_PLAIN = re.compile("[\\t-\\r -~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u017f]*").fullmatch
+_ODD_SPACE = re.compile("[\x1c-\x1f]").search
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> ChunkTokenizer:
+    """One for each worker process and file, kept from task to task."""
+    return ChunkTokenizer(path)
 
 
 def tokenizer_path() -> str:
@@ -84,20 +134,19 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, e
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = ChunkTokenizer(path or tokenizer_path())
+        tok = _tokenizer(path or tokenizer_path())
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             at, start, length, crc, total = [], [], [], [], []
-            for i in range(0, b.num_rows, 128):
-                for k, data in enumerate(tok.encode([t or "" for t in texts[i : i + 128].to_pylist()]), i):
-                    data += end
-                    for s in range(0, len(data), 4 * sequence):
-                        piece = data[s : s + 4 * sequence]
-                        at.append(k)
-                        start.append(s // 4)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(len(data) // 4)
+            for k, text in enumerate(texts):
+                data = tok.encode(text.as_py() or "") + end
+                for s in range(0, len(data), 4 * sequence):
+                    piece = data[s : s + 4 * sequence]
+                    at.append(k)
+                    start.append(s // 4)
+                    length.append(len(piece) // 4)
+                    crc.append(zlib.crc32(piece))
+                    total.append(len(data) // 4)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES.format(kind))
