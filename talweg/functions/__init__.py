@@ -1 +1 @@
-
+"""Scalar functions: units and geometry."""

@@ -1 +1 @@
-
+"""Terrain operators: DataFrames of cells in, DataFrames out."""

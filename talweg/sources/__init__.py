@@ -1 +1 @@
-
+"""Sources and sinks: GeoTIFF rasters, GeoPackage layers, points."""

@@ -5,7 +5,7 @@ import pytest
 
 from grids import dense, grid
 from talweg.grid import GridMeta
-from talweg.operators import direction, fill, network
+from talweg.operators import breach, direction, fill, network
 from talweg.plans.flowgraph import accumulation
 
 DEM = [[5, 4, 3, 2, 1], [5, 5, 5, 5, 5], [5, 5, 5, 5, 5], [5, 5, 4, 5, 5], [5, 5, 5, 5, 5]]
@@ -203,3 +203,44 @@ def test_snap(spark):
     got = network.snap_points(points, grid(spark, ACC2, "acc", "long"), 2)
     assert {(r.fid, r.row, r.col) for r in got.collect()} == {(1, 1, 0), (2, 1, 1)}
     assert network.snap_points(points, grid(spark, ACC2, "acc", "long"), 1) is points
+
+
+SINGLE = [[2] * 5, [-1, 2, 2, 2, 2], [2, 2, 0, 2, 2], [2] * 5, [2] * 5]
+
+
+@pytest.mark.parametrize("size", [2, 512])
+def test_breach_single_cell(spark, size):
+    want = np.array(SINGLE, float)
+    want[2, 1] = -0.5
+    np.testing.assert_allclose(dense(breach.breach_single_cell(grid(spark, SINGLE, "z", "double"), size), "z", (5, 5)), want)
+
+
+@pytest.mark.parametrize("size", [2, 512])
+@pytest.mark.parametrize(
+    ("changes", "want"),
+    [
+        ({(0, 3): -2}, {(1, 3): -4 / 3, (2, 3): -2 / 3}),
+        ({(0, 3): None}, {(1, 3): -2e-5, (2, 3): -1e-5}),
+        ({(0, 3): -2, (1, 3): 0, (2, 3): 0}, {}),
+    ],
+)
+def test_breach(spark, changes, want, size):
+    """Flat path cells at the pit's own level stay as they are."""
+    z = [[2.0] * 7 for _ in range(7)]
+    z[3][3] = 0.0
+    for (r, c), v in changes.items():
+        z[r][c] = -9999.0 if v is None else v
+    got = dense(breach.breach(grid(spark, z, "z", "double", -9999.0), 3, size=size), "z", (7, 7))
+    expected = np.array([[np.nan if v == -9999 else v for v in line] for line in z])
+    for cell, v in want.items():
+        expected[cell] = v
+    np.testing.assert_allclose(got, expected, rtol=1e-6)
+
+
+def test_breach_is_tile_invariant_and_only_lowers(spark):
+    z = np.random.default_rng(0).uniform(1, 10, (20, 24))
+    dem = grid(spark, z.tolist(), "z", "double")
+    one, two = (dense(breach.breach(dem, 4, size=s), "z", z.shape) for s in (5, 512))
+    assert (one == two).all() and (one <= z).all() and (one < z).any()
+    with pytest.raises(ValueError):
+        breach.breach(dem, 0)
