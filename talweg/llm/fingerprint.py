@@ -24,7 +24,8 @@ from .common import cut
 #: Bytes of bucket keys up to which they are broadcast to find the texts to compare.
 BROADCAST_BYTES = 64 << 20
 MAX_RANGES = 512
-_SPACE = r"\s\x1c-\x1f\x85\xa0  -     　"
+_WIDE = "".join(f"\\x{{{c:x}}}" for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_OTHER_SPACE = r"\t\n\x0B\f\r\x1c\x1d\x1e\x1f" + _WIDE
 
 
 def _nfkc(text: Column) -> Column:
@@ -35,7 +36,7 @@ def canonical(text: Column) -> Column:
     plain = F.coalesce(text, F.lit(""))
     folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), _nfkc(plain), F.lit(True))
     # single plain spaces need no replacement, so only other runs are matched
-    return F.trim(F.regexp_replace(_nfkc(folded), rf"[{_SPACE}]{{2,}}|[{_SPACE}&&[^ ]]", " "))
+    return F.trim(F.regexp_replace(_nfkc(folded), f"[ {_OTHER_SPACE}]{{2,}}|[{_OTHER_SPACE}]", " "))
 
 
 def wide_hash(canon: Column, bits: int = 128) -> Column:
@@ -68,9 +69,9 @@ def with_numbers(df: DataFrame, hash_col: str, canon_col: str, clashes: DataFram
     """``hash_col`` made unique for each canonical text."""
     if clashes is None:
         return df
-    c = clashes.select(F.col("hash").alias("__hash"), F.col("canon").alias("__canon"), "number")
-    df = df.join(c, (F.col(hash_col) == F.col("__hash")) & (F.col(canon_col) == F.col("__canon")), "left")
-    return df.withColumn(hash_col, F.when(F.col("number") > 0, F.concat(hash_col, F.lit("-"), "number")).otherwise(F.col(hash_col))).drop("__hash", "__canon", "number")
+    c = clashes.select(F.col("hash").alias("__hash"), F.col("canon").alias("__text"), "number")
+    df = df.join(c, (F.col(hash_col) == F.col("__hash")) & (F.col(canon_col) == F.col("__text")), "left")
+    return df.withColumn(hash_col, F.when(F.col("number") > 0, F.concat(hash_col, F.lit("-"), "number")).otherwise(F.col(hash_col))).drop("__hash", "__text", "number")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", bits: int = 128) -> DataFrame:
@@ -114,7 +115,7 @@ def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
         low, high = F.element_at(edge, rng + 1), F.element_at(edge, rng + 2)
         within = F.least(F.lit(cuts - 1), F.floor((F.col("doc_id") - low) * cuts / F.greatest(F.lit(1), high - low)))
         rng = rng * cuts + within
-    docs = docs.withColumn("__range", F.coalesce(rng.cast("long"), F.lit(-1)))
+    docs = docs.withColumn("__range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(rng).cast("long"))
     firsts = docs.groupBy("__range").agg(F.min("doc_id").alias("__first")).orderBy("__range").collect()  # one row a range
     before = {firsts[i][1]: firsts[i - 1][0] for i in range(len(firsts))}
     real = docs.withColumn("__extra", F.lit(0))
