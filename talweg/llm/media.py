@@ -66,7 +66,7 @@ def unwav(data: bytes) -> tuple[int, bytes]:
 def _prototype(up: int, down: int) -> np.ndarray:
     """Windowed-sinc low-pass for resampling by up/down, as one branch a row."""
     m = max(up, down)
-    n = TAPS * m
+    n = TAPS * m + 1  # odd, so the delay is a whole number of steps
     t = (np.arange(n) - (n - 1) / 2) / m
     h = np.sinc(t) * np.hamming(n)
     h *= up / h.sum()
