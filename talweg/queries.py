@@ -21,6 +21,8 @@ from talweg.plans.session import cut
 
 THRESHOLD = 60
 SNAP_RADIUS = 3
+#: Tiles of these small grids; the operators' own default suits large rasters.
+SIZE = 64
 
 
 def terrain(spark: SparkSession, sf_dir: str, kind: str, holes: bool = False) -> tuple[DataFrame, GridMeta]:
@@ -54,7 +56,7 @@ def _direction(df: DataFrame) -> DataFrame:
 
 
 def d8_direction(spark, sf_dir):
-    return _direction(direction.d8(terrain(spark, sf_dir, "slope", True)[0]))
+    return _direction(direction.d8(terrain(spark, sf_dir, "slope", True)[0], SIZE))
 
 
 def direction_histogram(spark, sf_dir):
@@ -62,116 +64,116 @@ def direction_histogram(spark, sf_dir):
 
 
 def pits(spark, sf_dir):
-    return direction.pits(terrain(spark, sf_dir, "slope", True)[0])
+    return direction.pits(terrain(spark, sf_dir, "slope", True)[0], SIZE)
 
 
 def flat_edges(spark, sf_dir):
     dem, meta = terrain(spark, sf_dir, "slope", True)
-    f = direction.flat_cells(dem, cut(direction.d8(dem)), meta)
+    f = direction.flat_cells(dem, cut(direction.d8(dem, SIZE)), meta, SIZE)
     return f.select("row", "col", F.col("high").cast("int").alias("high"), (F.col("low") > 0).cast("int").alias("low"))
 
 
 def _filled(spark, sf_dir, holes=False):
     dem, meta = terrain(spark, sf_dir, "slope", holes)
-    return cut(fill.fill(dem, meta)), meta
+    return cut(fill.fill(dem, meta, size=SIZE)), meta
 
 
 def fill_depressions(spark, sf_dir):
     dem, meta = terrain(spark, sf_dir, "rough", True)
-    return fill.fill(dem, meta)
+    return fill.fill(dem, meta, size=SIZE)
 
 
 def fill_holes(spark, sf_dir):
     dem, meta = terrain(spark, sf_dir, "rough", True)
-    return fill.fill(dem, meta, fill_holes=True)
+    return fill.fill(dem, meta, fill_holes=True, size=SIZE)
 
 
 def fill_depth_stats(spark, sf_dir):
     dem, meta = terrain(spark, sf_dir, "slope")
-    both = fill.fill(dem, meta).join(dem.select("row", "col", F.col("z").alias("z0")), ["row", "col"])
+    both = fill.fill(dem, meta, size=SIZE).join(dem.select("row", "col", F.col("z").alias("z0")), ["row", "col"])
     return both.agg(F.count(F.when(F.col("z") > F.col("z0"), 1)).alias("raised"), F.sum(F.col("z") - F.col("z0")).alias("volume"), F.max(F.col("z") - F.col("z0")).alias("deepest"))
 
 
 def flat_mask(spark, sf_dir):
     dem, meta = _filled(spark, sf_dir)
-    return direction.flat_mask(dem, cut(direction.d8(dem)), meta)
+    return direction.flat_mask(dem, cut(direction.d8(dem, SIZE)), meta, SIZE)
 
 
 def flow_direction_resolved(spark, sf_dir):
     dem, meta = _filled(spark, sf_dir)
-    return _direction(direction.flow_direction(dem, meta))
+    return _direction(direction.flow_direction(dem, meta, size=SIZE))
 
 
 def _valley(spark, sf_dir, holes=False):
     dem, meta = terrain(spark, sf_dir, "valley", holes)
-    return cut(direction.d8(dem)), meta
+    return cut(direction.d8(dem, SIZE)), meta
 
 
 def flow_accumulation(spark, sf_dir):
-    return accumulation(*_valley(spark, sf_dir))
+    return accumulation(*_valley(spark, sf_dir), SIZE)
 
 
 def flow_accumulation_holes(spark, sf_dir):
-    return accumulation(*_valley(spark, sf_dir, True))
+    return accumulation(*_valley(spark, sf_dir, True), SIZE)
 
 
 def basins_all(spark, sf_dir):
-    return network.basins(*_valley(spark, sf_dir, True))[0]
+    return network.basins(*_valley(spark, sf_dir, True), size=SIZE)[0]
 
 
 def basins_dp(spark, sf_dir):
     fdr, meta = _valley(spark, sf_dir, True)
-    return network.basins(fdr, meta, points(spark, sf_dir, meta), all_basins=False)[0]
+    return network.basins(fdr, meta, points(spark, sf_dir, meta), all_basins=False, size=SIZE)[0]
 
 
 def basin_graph(spark, sf_dir):
     fdr, meta = _valley(spark, sf_dir)
-    return network.basins(fdr, meta, points(spark, sf_dir, meta))[1]
+    return network.basins(fdr, meta, points(spark, sf_dir, meta), size=SIZE)[1]
 
 
 def basin_points(spark, sf_dir):
     fdr, meta = _valley(spark, sf_dir, True)
     dp = points(spark, sf_dir, meta, "customer")
-    labels, graph = network.basins(fdr, meta, dp)
+    labels, graph = network.basins(fdr, meta, dp, size=SIZE)
     return network.update_points(dp, labels, graph, meta).select("fid", "row", "col", "basin_id", "ds_basin_id")
 
 
 def basin_boundary(spark, sf_dir):
     fdr, meta = _valley(spark, sf_dir, True)
-    return network.basin_boundary(cut(network.basins(fdr, meta, points(spark, sf_dir, meta))[0]))
+    return network.basin_boundary(cut(network.basins(fdr, meta, points(spark, sf_dir, meta), size=SIZE)[0]), SIZE)
 
 
 def basin_polygon_sides(spark, sf_dir):
     fdr, meta = _valley(spark, sf_dir)
-    labels, graph = network.basins(fdr, meta, points(spark, sf_dir, meta))
+    labels, graph = network.basins(fdr, meta, points(spark, sf_dir, meta), size=SIZE)
     return network.basin_polygon_edges(cut(labels), graph).groupBy("BasinID").agg(F.count("*").alias("sides"))
 
 
 def basin_polygons(spark, sf_dir):
     fdr, meta = _valley(spark, sf_dir)
-    labels, graph = network.basins(fdr, meta, points(spark, sf_dir, meta))
+    labels, graph = network.basins(fdr, meta, points(spark, sf_dir, meta), size=SIZE)
     return network.basin_polygons(cut(labels), graph, meta)
 
 
 def flow_length(spark, sf_dir):
     fdr, meta = _valley(spark, sf_dir)
-    return network.flow_length(fdr, meta, points(spark, sf_dir, meta)).select("row", "col", F.round("dist", 6).alias("dist"), "dp_row", "dp_col")
+    return network.flow_length(fdr, meta, points(spark, sf_dir, meta), SIZE).select("row", "col", F.round("dist", 6).alias("dist"), "dp_row", "dp_col")
 
 
 def longest_path_length(spark, sf_dir):
     fdr, meta = _valley(spark, sf_dir)
-    return network.longest_flow_paths(fdr, meta, points(spark, sf_dir, meta)).select("fid", F.round("length", 6).alias("length_m"), F.round(F.col("length") * 3.28084, 6).alias("length_ft"))
+    return network.longest_flow_paths(fdr, meta, points(spark, sf_dir, meta), size=SIZE).select("fid", F.round("length", 6).alias("length_m"), F.round(F.col("length") * 3.28084, 6).alias("length_ft"))
 
 
 def longest_flow_path(spark, sf_dir):
     fdr, meta = _valley(spark, sf_dir)
-    paths = network.longest_flow_paths(fdr, meta, points(spark, sf_dir, meta))
-    return network.flow_path_lines(fdr, meta, cut(paths))
+    paths = network.longest_flow_paths(fdr, meta, points(spark, sf_dir, meta), size=SIZE)
+    return network.flow_path_lines(fdr, meta, cut(paths), SIZE)
 
 
 def _network(spark, sf_dir):
     fdr, meta = _valley(spark, sf_dir)
-    return cut(accumulation(fdr, meta)), fdr, meta
+    return cut(accumulation(fdr, meta, SIZE)), fdr, meta
 
 
 def stream_cells(spark, sf_dir):
@@ -180,19 +182,19 @@ def stream_cells(spark, sf_dir):
 
 def stream_nodes(spark, sf_dir):
     fac, fdr, _ = _network(spark, sf_dir)
-    return network.stream_nodes(fac, fdr, THRESHOLD)
+    return network.stream_nodes(fac, fdr, THRESHOLD, SIZE)
 
 
 def stream_segments(spark, sf_dir):
     fac, fdr, meta = _network(spark, sf_dir)
-    lines = network.streams(fac, fdr, meta, THRESHOLD)[0]
+    lines = network.streams(fac, fdr, meta, THRESHOLD, SIZE)[0]
     first, last = F.element_at("cells", 1), F.element_at("cells", -1)
     return lines.select(first["row"].alias("from_row"), first["col"].alias("from_col"), last["row"].alias("to_row"), last["col"].alias("to_col"), "n_cells")
 
 
 def stream_junctions(spark, sf_dir):
     fac, fdr, meta = _network(spark, sf_dir)
-    return network.streams(fac, fdr, meta, THRESHOLD)[1].select("row", "col", "x", "y")
+    return network.streams(fac, fdr, meta, THRESHOLD, SIZE)[1].select("row", "col", "x", "y")
 
 
 def snap_points(spark, sf_dir):
@@ -201,17 +203,17 @@ def snap_points(spark, sf_dir):
 
 
 def breach_single_cell(spark, sf_dir):
-    return breach_ops.breach_single_cell(terrain(spark, sf_dir, "slope")[0])
+    return breach_ops.breach_single_cell(terrain(spark, sf_dir, "slope")[0], SIZE)
 
 
 def breach_least_cost(spark, sf_dir):
-    return breach_ops.breach(terrain(spark, sf_dir, "slope")[0], radius=10)
+    return breach_ops.breach(terrain(spark, sf_dir, "slope")[0], radius=10, size=SIZE)
 
 
 def pipeline_streams(spark, sf_dir):
     """Conditioning to streams: fill, directions with flats, accumulation, stream lines."""
     dem, meta = terrain(spark, sf_dir, "slope")
-    lines = pipeline(dem, meta, search_radius=0, threshold=THRESHOLD)["streams"]
+    lines = pipeline(dem, meta, search_radius=0, threshold=THRESHOLD, size=SIZE)["streams"]
     first, last = F.element_at("cells", 1), F.element_at("cells", -1)
     return lines.select(first["row"].alias("from_row"), first["col"].alias("from_col"), last["row"].alias("to_row"), last["col"].alias("to_col"), "n_cells")
 
