@@ -28,7 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# single characters, not ranges: Java then tests a character by one look-up
+_SEPARATORS = "".join(f"\\x{b:02X}" for b in range(128) if not chr(b).isalnum())
+#: Words of a text whose A-Z are lower-cased.
+WORD = f"[^{_SEPARATORS}{''.join(chr(b) for b in range(65, 91))}]+"
+#: The same words before A-Z are lower-cased.
+ANY_CASE_WORD = f"[^{_SEPARATORS}]+"
+_BETWEEN = f"[{_SEPARATORS}]+"
+_LEFT, _RIGHT = f"(?<![^{_SEPARATORS}])", f"(?![^{_SEPARATORS}])"
 THRESHOLD = 0.8
 
 #: Phrases whose words must stand consecutively, with their labels.
@@ -61,6 +68,35 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def _any_case(text: str) -> str:
+    """A pattern for a lower-case text in which A-Z may stand for a-z."""
+    return "".join(f"[{c}{c.upper()}]" if "a" <= c <= "z" else re.escape(c) for c in text)
+
+
+def _trie_pattern(tokens: Sequence[str]) -> str:
+    """One pattern for all tokens that shares their beginnings, so a place is tried once a letter."""
+    ends, below = False, {}
+    for t in tokens:
+        if t:
+            below.setdefault(t[0], []).append(t[1:])
+        else:
+            ends = True
+    if not below:
+        return ""
+    parts = "|".join(_any_case(c) + _trie_pattern(rest) for c, rest in sorted(below.items()))
+    return f"(?:{parts})?" if ends else f"(?:{parts})"
+
+
+def whole_words(tokens: Sequence[str]) -> str:
+    """A pattern that finds the tokens as whole words, in any case."""
+    return _LEFT + _trie_pattern(sorted(set(tokens))) + _RIGHT
+
+
+def phrase_pattern(phrases: Sequence[str]) -> str:
+    """A pattern that finds a phrase's words standing consecutively, in any case."""
+    return _LEFT + "(?:" + "|".join(_BETWEEN.join(map(_any_case, p.split(" "))) for p in phrases) + ")" + _RIGHT
+
+
 def _template_words(text: str) -> list[str]:
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     return list(dict.fromkeys(re.findall(WORD, low)))
@@ -91,11 +127,13 @@ def _all(tests: list[Column]) -> Column:
 def index_of(docs: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> tuple[list[tuple], list[str]]:
     """([(token, template no, position, m, need)] of all prefixes, the words in global order).
 
-    ``docs`` has the column ``__words``.  One row a template word comes back.
+    Frequencies are numbers of texts; only template words are cut out of them.  One
+    row a template word comes back.
     """
     sets = [_template_words(t) for _, t in templates]
     vocabulary = sorted({w for s in sets for w in s})
-    seen = docs.select(F.explode(F.array_intersect("__words", _strings(vocabulary))).alias("w")).groupBy("w").count()
+    words = F.regexp_extract_all("text", F.lit(whole_words(vocabulary)), F.lit(0))
+    seen = docs.select(F.explode(F.array_distinct(F.transform(words, ascii_lower))).alias("w")).groupBy("w").count()
     count = dict(seen.collect())  # at most one row a template word
     order = sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
@@ -115,14 +153,14 @@ def blocks(docs: DataFrame, keys: Sequence[str], longest: int) -> DataFrame:
 
 
 def find_templates(docs: DataFrame, keys: Sequence[str], templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(keys, found array<string>, score): templates found in (keys, text, __words) rows; rows without any are absent."""
+    """(keys, found array<string>, score): templates found in (keys, text) rows; rows without any are absent."""
     rows, order = index_of(docs, templates, threshold)
     sets = [_template_words(t) for _, t in templates]
     longest = max(len(re.findall(WORD, t)) for _, t in templates)
     # rows of the index: at most the templates' words
     prefix = F.broadcast(docs.sparkSession.createDataFrame(rows, "__tok string, __t int, __i int, __m int, __need int"))
     first = sorted({r[0] for r in rows})
-    hits = docs.filter(F.arrays_overlap("__words", _strings(first)))
+    hits = docs.filter(F.rlike("text", F.lit(whole_words(first))))
     # template words of the block in global order: array_intersect keeps the first array's order
     b = blocks(hits, keys, longest).select(*keys, F.array_intersect(_strings(order), "__block").alias("__b"))
     b = b.filter(F.size("__b") >= min(r[4] for r in rows)).distinct()
@@ -139,10 +177,14 @@ def find_templates(docs: DataFrame, keys: Sequence[str], templates: Sequence[tup
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of (doc_id, text) rows."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("__h")).withColumn("__words", words_of(F.col("text")))
-    spots = docs.withColumn("__places", places("__words", phrases))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("__h"))
+    # words are only cut out of texts with a phrase
+    holds = F.rlike("text", F.lit(phrase_pattern(list(phrases))))
+    words = F.when(holds, words_of(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    spots = docs.withColumn("__words", words).withColumn("__places", places("__words", phrases))
+    count = F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long")
     base = spots.select(
-        "doc_id", "__h", F.size("__words").cast("long").alias("n_words"), F.size("__places").cast("long").alias("n_base"),
+        "doc_id", "__h", count.alias("n_words"), F.size("__places").cast("long").alias("n_base"),
         F.array_min("__places.at").alias("first_word"), F.array_max("__places.at").alias("last_word"), F.array_sort(F.array_distinct("__places.label")).alias("__base"),
     )
     keys = ["doc_id", "__h"]
