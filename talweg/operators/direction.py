@@ -13,6 +13,8 @@ from talweg.plans.tiles import TILE, Tile, neighbour, tile_map
 from talweg.plans.unionfind import connected
 
 LENGTH = [float(np.hypot(r, c)) for r, c in STEPS]
+#: Cells of a flat that are resolved in one group; larger flats go by tiles in rounds.
+FLAT_CELLS = 4_000_000
 #: Added to cells that a gradient away from higher terrain reaches.
 FLAT_BASE = (2**31 - 1) // 2
 
@@ -142,22 +144,22 @@ def flat_levels(row: np.ndarray, col: np.ndarray, high: np.ndarray, low: np.ndar
     return mask, near
 
 
-def flat_mask(dem: DataFrame, fdr: DataFrame, meta: GridMeta, size: int = TILE) -> DataFrame:
+def flat_mask(dem: DataFrame, fdr: DataFrame, meta: GridMeta, size: int = TILE, flat_cells: int = FLAT_CELLS) -> DataFrame:
     """(row, col, mask) of undefined cells."""
-    return _by_flat(dem, fdr, meta, size, False)
+    return _by_flat(dem, fdr, meta, size, False, flat_cells)
 
 
-def resolve_flats(dem: DataFrame, fdr: DataFrame, meta: GridMeta, size: int = TILE) -> DataFrame:
+def resolve_flats(dem: DataFrame, fdr: DataFrame, meta: GridMeta, size: int = TILE, flat_cells: int = FLAT_CELLS) -> DataFrame:
     """Directions with those of flat cells filled in from their masks.
 
     A flat cell next to nodata or the raster's edge drains there; else to the level
     neighbour with the least (mask difference / distance), lowest code first.
     """
-    fixed = _by_flat(dem, fdr, meta, size, True)
+    fixed = _by_flat(dem, fdr, meta, size, True, flat_cells)
     return fdr.filter(F.col("dir") != UNDEFINED).select("row", "col", F.col("dir").cast("tinyint").alias("dir")).unionByName(fixed)
 
 
-def _by_flat(dem: DataFrame, fdr: DataFrame, meta: GridMeta, size: int, directions: bool) -> DataFrame:
+def _by_flat(dem: DataFrame, fdr: DataFrame, meta: GridMeta, size: int, directions: bool, most: int) -> DataFrame:
     cells = cut(flat_cells(dem, fdr, meta, size))
     # components that cross a tile border are joined by the bonds of border cells
     border = cells.filter((F.col("row") % size == 0) | (F.col("row") % size == size - 1) | (F.col("col") % size == 0) | (F.col("col") % size == size - 1))
@@ -168,23 +170,91 @@ def _by_flat(dem: DataFrame, fdr: DataFrame, meta: GridMeta, size: int, directio
     roots = connected(edges)
     cells = cells.join(roots, cells["part"] == roots["node"], "left").withColumn("flat", F.coalesce("root", "part")).drop("node", "root", "part")
 
+    sizes = cells.groupBy("flat").count().filter(F.col("count") > most).select("flat")
+    large = cut(sizes)  # few: each stands for more than ``most`` cells
+    if large.isEmpty():
+        return cells.groupBy("flat").applyInArrow(_resolver(meta.ncols, directions), _result(directions))
+    small = cells.join(large, "flat", "left_anti").groupBy("flat").applyInArrow(_resolver(meta.ncols, directions), _result(directions))
+    return small.unionByName(_large_flats(cells.join(large, "flat", "left_semi"), meta, size, directions))
+
+
+def _result(directions: bool) -> str:
+    return f"row long, col long, {'dir tinyint' if directions else 'mask long'}"
+
+
+def _resolver(ncols: int, directions: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         row, col, low, bonds, out = (table.column(c).to_numpy().astype(np.int64) for c in ("row", "col", "low", "bonds", "out"))
         high = table.column("high").to_numpy(zero_copy_only=False)
-        mask, near = flat_levels(row, col, high, low, bonds, meta.ncols)
+        mask, near = flat_levels(row, col, high, low, bonds, ncols)
         if not directions:
             return pa.table({"row": row, "col": col, "mask": mask})
-        best, code = np.full(len(row), np.inf), np.full(len(row), UNDEFINED)
+        theirs = np.where(near >= 0, mask[near], 2)
+        return pa.table({"row": row, "col": col, "dir": _masked_direction(mask, theirs, near >= 0, low, out)})
+
+    return run
+
+
+def _masked_direction(mask: np.ndarray, theirs: np.ndarray, bonded: np.ndarray, low: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Directions of flat cells; ``theirs`` (n, 8) are level undefined neighbours' masks where ``bonded``.
+
+    A low edge's mask is 2; a level neighbour that is neither cannot exist.
+    """
+    best, code = np.full(len(mask), np.inf), np.full(len(mask), UNDEFINED)
+    for d in range(8):
+        edge = low >> d & 1 == 1
+        slope = np.where(bonded[:, d] | edge, (np.where(bonded[:, d], theirs[:, d], 2) - mask).astype(float) / LENGTH[d], np.inf)
+        less = slope < best
+        best[less], code[less] = slope[less], d
+    return np.where(out >= 0, out, code).astype(np.int8)
+
+
+def _tile_distances(seed: np.ndarray, bonds: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Least level of each core cell from seeds (0: none) of any level, along bonds; seeds outside the core count."""
+    far = np.iinfo(np.int64).max // 2
+    level = np.where(seed > 0, seed, far)
+    while True:
+        new = level.copy()
         for d in range(8):
-            # a low edge's mask is 2; a level neighbour that is neither cannot exist
-            theirs = np.where(near[:, d] >= 0, mask[near[:, d]], 2)
-            slope = np.where((near[:, d] >= 0) | (low >> d & 1 == 1), (theirs - mask).astype(float) / LENGTH[d], np.inf)
-            less = slope < best
-            best[less], code[less] = slope[less], d
-        code = np.where(out >= 0, out, code)
-        return pa.table({"row": row, "col": col, "dir": code.astype(np.int8)})
-
-    return cells.groupBy("flat").applyInArrow(run, f"row long, col long, {'dir tinyint' if directions else 'mask long'}")
+            step = neighbour(level, d, far) + 1
+            np.minimum(new, np.where(core & (bonds >> d & 1 == 1), step, far), out=new)
+        if (new == level).all():
+            return np.where(level < far, level, 0)
+        level = new
+
+
+def _large_flats(cells: DataFrame, meta: GridMeta, size: int, directions: bool) -> DataFrame:
+    """The same for flats of any size: tiles find distances and hand those of their border cells to their neighbours.
+
+    A round is a pass over the flats' tiles; there are about as many as tiles across a flat.
+    """
+    cells = cut(cells.select("row", "col", F.col("high").cast("int").alias("high"), "low", "out", "bonds", F.lit(0).cast("long").alias("away"), F.lit(0).cast("long").alias("down")))
+
+    def spread(t: Tile) -> dict[str, np.ndarray]:
+        d = t.data
+        away = _tile_distances(np.where(d["away"] > 0, d["away"], np.where(d["high"] > 0, 1, 0)), d["bonds"], t.core)
+        down = _tile_distances(np.where(d["down"] > 0, d["down"], np.where(d["low"] > 0, 2, 0)), d["bonds"], t.core)
+        changed = t.own((away != d["away"]) | (down != d["down"]))
+        return {"row": t.rows, "col": t.cols, **{c: t.own(d[c]) for c in ("high", "low", "out", "bonds")}, "away": t.own(away), "down": t.own(down), "changed": changed}
+
+    values = ["high", "low", "out", "bonds", "away", "down"]
+    schema = "row long, col long, high int, low int, out int, bonds int, away long, down long, changed boolean"
+    while True:
+        now = cut(tile_map(cells, values, spread, schema, 1, size))
+        if not now.filter("changed").limit(1).count():
+            break
+        cells = now.drop("changed")
+
+    def finish(t: Tile) -> dict[str, np.ndarray]:
+        d = t.data
+        mask = np.where(d["down"] > 0, 2 * d["down"] + np.where(d["away"] > 0, FLAT_BASE - d["away"], 0), -d["away"])
+        if not directions:
+            return {"row": t.rows, "col": t.cols, "mask": t.own(mask)}
+        theirs = np.stack([t.own(neighbour(mask, k, 0)) for k in range(8)], axis=1)
+        bonded = np.stack([t.own(d["bonds"]) >> k & 1 == 1 for k in range(8)], axis=1)
+        return {"row": t.rows, "col": t.cols, "dir": _masked_direction(t.own(mask), theirs, bonded, t.own(d["low"]), t.own(d["out"]))}
+
+    return tile_map(cells, values, finish, _result(directions), 1, size)
 
 
 def flow_direction(dem: DataFrame, meta: GridMeta, flats: bool = True, size: int = TILE) -> DataFrame:

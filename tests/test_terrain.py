@@ -44,10 +44,11 @@ def test_pits(spark):
     assert [(r.row, r.col) for r in direction.pits(grid(spark, z, "z", "double"), 2).collect()] == [(2, 2)]
 
 
+@pytest.mark.parametrize("flat_cells", [5, 1000])
 @pytest.mark.parametrize("size", [2, 3, 512])
 @pytest.mark.parametrize(("z", "fdr", "fixed"), [(FLAT_Z, FLAT_DIR, FLAT_FIXED), (FLAT2_Z, FLAT2_DIR, FLAT2_FIXED)])
-def test_flats(spark, z, fdr, fixed, size):
-    got = direction.resolve_flats(grid(spark, z, "z", "double"), grid(spark, fdr, "dir", "tinyint"), meta(z), size)
+def test_flats(spark, z, fdr, fixed, size, flat_cells):
+    got = direction.resolve_flats(grid(spark, z, "z", "double"), grid(spark, fdr, "dir", "tinyint"), meta(z), size, flat_cells)
     assert (dense(got, "dir", np.shape(z)) == np.array(fixed)).all()
 
 
