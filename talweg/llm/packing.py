@@ -31,7 +31,7 @@ SEQUENCE = 4096
 QUANTUM = 16
 END_ID = 2
 #: Strings in one generation of a worker's two caches.
-CACHE_CHUNKS, CACHE_WORDS = 100_000, 200_000
+CACHE_CHUNKS, CACHE_WORDS = 60_000, 120_000
 MAX_PIVOTS = 4000
 
 PIECES = "doc_id {0}, start long, length long, ids_crc32 long, doc_tokens long"

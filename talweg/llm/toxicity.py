@@ -37,7 +37,7 @@ PREFIXES = range(3, 9)
 WINDOW = 8  # words on either side of a hit
 THRESHOLD = 0.7
 PRIOR = 0.01
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 #: Marks that open and close a quotation, and words of reporting.
 QUOTES = "\"“”„«»‹›"
