@@ -224,7 +224,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
                             rows, held = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema=RECORD_ARROW)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(read, RECORD_SCHEMA)
+    # one task a file: a count of partitions, which adaptive execution does not merge
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(read, RECORD_SCHEMA)
 
 
 def _decode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
