@@ -245,3 +245,53 @@ def test_breach_is_tile_invariant_and_only_lowers(spark):
     assert (one == two).all() and (one <= z).all() and (one < z).any()
     with pytest.raises(ValueError):
         breach.breach(dem, 0)
+
+
+def test_haversine():
+    rad = np.radians
+    assert abs(network.haversine(0, 0, rad(1.0), 0) / 111195 - 1) < 0.01
+    assert 230e3 < network.haversine(rad(45.5), rad(-122.7), rad(47.6), rad(-122.3)) < 240e3
+    m = GridMeta(100, 100, (-120.0, 0.01, 0.0, 46.0, 0.0, -0.01), "EPSG:4326", True)
+    east, south = (float(network.step_length_of(m)(np.array([0]), np.array([d]))[0]) for d in (0, 6))
+    assert 700 < east < 850 and 1000 < south < 1200
+
+
+def test_geographic_flow_length(spark):
+    m = GridMeta(1, 4, (-120.0, 0.01, 0.0, 46.0, 0.0, -0.01), "EPSG:4326", True)
+    points = spark.createDataFrame([(1, 0, 3)], "fid long, row long, col long")
+    got = dense(network.flow_length(grid(spark, [[0, 0, 0, 0]], "dir", "tinyint"), m, points, 2), "dist", (1, 4))[0]
+    np.testing.assert_allclose(np.diff(got), -got[2], rtol=1e-9)
+    paths = network.longest_flow_paths(grid(spark, [[0, 0, 0, 0]], "dir", "tinyint"), m, points, size=2).first()
+    assert (paths.start_row, paths.start_col) == (0, 0) and abs(paths.length - got[0]) < 1e-6
+
+
+def test_coordinates(spark):
+    from pyspark.sql import functions as F
+
+    from talweg.grid import cell_xy, nodata_to_null, xy_cell
+
+    m = GridMeta(10, 10, (100.0, 2.0, 0.0, 50.0, 0.0, -2.0))
+    df = spark.createDataFrame([(3, 4)], "row long, col long")
+    x, y = cell_xy(m, F.col("row"), F.col("col"))
+    assert tuple(df.select(x, y).first()) == (109.0, 43.0)
+    r, c = xy_cell(m, F.lit(109.0), F.lit(43.0))
+    assert tuple(df.select(r, c).first()) == (3, 4)
+    with pytest.raises(ValueError):
+        xy_cell(GridMeta(1, 1, (0.0, 0.0, 0.0, 0.0, 0.0, 0.0)), F.lit(0.0), F.lit(0.0))
+    odd = spark.createDataFrame([(float("nan"),), (-1.0,), (2.0,)], "z double")
+    assert [v.z for v in nodata_to_null(odd, "z", -1.0).collect()] == [None, None, 2.0]
+
+
+def test_drainage_cells(spark):
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.6, 0.4), (3, 99.0, 0.0), (4, None, 1.0)], "fid long, x double, y double")
+    assert [tuple(r) for r in network.drainage_cells(points, GridMeta(3, 3)).collect()] == [(2, 0, 0)]
+
+
+def test_result_does_not_depend_on_partitions(spark):
+    z = np.random.default_rng(9).integers(0, 30, (25, 25)).astype(float).tolist()
+    out = []
+    for n in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        out.append(dense(direction.flow_direction(fill.fill(grid(spark, z, "z", "double").repartition(int(n)), GridMeta(25, 25), size=8), GridMeta(25, 25), size=8), "dir", (25, 25)))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert (out[0] == out[1]).all()
