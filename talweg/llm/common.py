@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talweg.plans import session
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: White-space separated words, as a Java / RE2 pattern.
@@ -48,9 +50,9 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage, and the planner's estimates, with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return session.cut(df)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -112,18 +114,18 @@ def components(edges: DataFrame) -> DataFrame:
     aggregation, and looked up by joins of checkpointed tables whose hot keys Spark splits.
     """
     e = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v != u").distinct()
-    e, before = cut(e), None
+    e = cut(e)
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
-        before = now
         both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(e.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
         large = cut(e.select(F.col("u").alias("x"), "v").join(least, "x").select("v", F.col("m").alias("u")).filter("v != u").distinct())
         least = cut(large.groupBy("v").agg(F.min("u").alias("m")))
         small = large.join(least, "v").filter("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         e = cut(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
+        # done when every node hangs on one node, which hangs on none
+        n, nodes = e.agg(F.count("*"), F.count_distinct("v")).first()
+        if n == nodes and e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+            return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
 def part_count(rows: int, per_part: int, df: DataFrame) -> int:
@@ -133,7 +135,8 @@ def part_count(rows: int, per_part: int, df: DataFrame) -> int:
 
 def dealt(part: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
     """Arrays cut by part number: one row a part with the bytes of each array's slice."""
-    order = np.argsort(part, kind="stable")
+    # few parts sort faster as 16-bit numbers
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
     sorted_parts = part[order]
     begin = np.flatnonzero(np.concatenate([[True], sorted_parts[1:] != sorted_parts[:-1]])) if len(part) else np.zeros(0, np.int64)
     end = np.concatenate([begin[1:], [len(part)]]).astype(np.int64) if len(part) else begin

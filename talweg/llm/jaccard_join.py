@@ -13,12 +13,13 @@ link if 100 * |intersection| >= 80 * |union|.
   by size and position; offsets into a list whose sizes or positions cannot reach the
   overlap are skipped as blocks.
 * Answers by set relations: a long list gives only the pairs of each entry with the
-  list's head and with its neighbours.  A set that is found similar to another
-  takes over its component, so pairs inside a component are never made.  Then, for
-  lists whose entries are still in several components, the entries outside the list's
-  largest component are compared with all others of the list, so no link between components
-  is lost.
-* Every candidate pair is verified on the whole texts' sets.
+  list's heads and with its neighbours.  A set that is found similar to another
+  takes over its component, so pairs inside a component are never made.  For lists
+  whose entries are still in several components, the entries outside the list's
+  largest component are compared with a few members of it, and what is then still
+  outside with all others of the list, so no link between components is lost.
+* Bitmaps of 512 bits bound the overlap of a pair from above; pairs that pass are verified on
+  the whole texts' sets.
 
 Defined cases: null text, or text without words, has an empty set and links to
 nothing; with fewer than five words the whole sequence is one shingle; rows repeated
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, dealt, gathered, mix64, part_count, restricted
@@ -41,6 +42,9 @@ PERCENT = 80
 HEAVY_COUNT = 8  # sets with a shingle from which it may count as frequent
 HEAVY_TERMS = 1 << 20
 LONG_LIST = 12
+BITMAP = 8  # longs of a set's bitmap
+HEADS = 6  # of a long list, with which its entries are paired
+PROBES = 4  # members of a list's largest component that others are paired with before all are
 BYTES = 1 << 20  # of text hashed at once
 FLUSH = 1 << 22  # numbers a task holds before it sends them
 PART_ENTRIES = 1 << 22
@@ -51,6 +55,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RANDOM = mix64(np.arange(1, 257, dtype=np.uint64))
+_BITS = [f"b{k}" for k in range(8)]
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -127,25 +132,33 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parities of the set's hashes in 64 * BITMAP classes: each shingle that two sets do not share flips one bit."""
+    odd = np.bincount((s & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _needed(n: np.ndarray | int, m: np.ndarray | int, percent: int):
     """Least overlap with which sets of n and m shingles link."""
     return -(-(percent * (n + m)) // (100 + percent))
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, n, set) of (doc_id, row, text)."""
+    """(doc_id, row, n, set, b0 ..) of (doc_id, row, text)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, number = [], []
+            n, number, bits = [], [], np.zeros((b.num_rows, BITMAP), np.int64)
             for i in range(0, b.num_rows, 256):
-                for s in shingle_sets(b.column(2)[i : i + 256].to_pylist()):
+                for k, s in enumerate(shingle_sets(b.column(2)[i : i + 256].to_pylist()), i):
                     n.append(len(s))
                     number.append(set_number(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(number, pa.int64())], names=["doc_id", "row", "n", "set"])
+                    bits[k] = bitmap(s)
+            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(number, pa.int64()), *(pa.array(bits[:, k]) for k in range(BITMAP))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n", "set", *_BITS])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {kind}, row long, n long, set long")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {kind}, row long, n long, set long, " + ", ".join(f"{c} long" for c in _BITS))
 
 
 def _new_sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -295,13 +308,13 @@ def _lists_of_part(percent: int, long_list: int):
         long = within > long_list
         i = np.flatnonzero(long)
         if len(i):
-            # heads: in each list the entry with the least number, the same for lists of the same sets
-            by = np.lexsort((number, token))
-            first = by[begin]
-            head = np.repeat(first, length)[i]
-            ok = (head != i) & _may_link(n[i], pos[i], n[head], pos[head], percent)
-            left.append(number[i][ok])
-            right.append(number[head][ok])
+            # heads: the entries with the least hashes, mostly the same for lists of the same sets
+            for seed in range(HEADS):
+                by = np.lexsort((mix64(number.view(np.uint64) + np.uint64(seed)), token))
+                head = np.repeat(by[begin], length)[i]
+                ok = (head != i) & _may_link(n[i], pos[i], n[head], pos[head], percent)
+                left.append(number[i][ok])
+                right.append(number[head][ok])
         whole = (np.int64(key[0].as_py()) << np.int64(32)) | token[i].astype(np.int64)
         return _list_table(left, right, i, (whole, number[i], n[i], pos[i]))
 
@@ -327,11 +340,25 @@ def _list_table(left: list, right: list, i, long) -> pa.Table:
     })
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs of set numbers whose sets link, checked on whole texts."""
-    wanted = cut(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct())
-    # one row stands for the copies of a set
-    rows = cut(sets.join(wanted, "set").groupBy("set").agg(F.min("row").alias("row")))
+def _by_set(sets: DataFrame) -> DataFrame:
+    """(set, row, n, b0 ..): one row stands for the copies of a set."""
+    return sets.groupBy("set").agg(F.min("row").alias("row"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in _BITS))
+
+
+def _bits_allow(percent: int, other: str = "_") -> Column:
+    """The bitmap filter: differing bits bound the overlap from above, so no link is lost."""
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + other))) for c in _BITS[1:]), F.bit_count(F.col("b0").bitwiseXOR(F.col("b0" + other))))
+    both = F.col("n") + F.col("n" + other)
+    return (both - differ) * (100 + percent) >= 2 * both * percent
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs of set numbers whose sets link: first by bitmaps, then on whole texts."""
+    left = kinds.select(F.col("set").alias("a"), "n", *_BITS)
+    right = kinds.select(F.col("set").alias("b"), *(F.col(c).alias(c + "_") for c in ("n", *_BITS)))
+    pairs = cut(pairs.join(left, "a").join(right, "b").filter(_bits_allow(percent)).select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    rows = cut(kinds.select("set", "row").join(wanted, "set"))
     texts = restricted(docs.select("row", "text"), "row", rows.select("row")).dropDuplicates(["row"]).join(rows, "row").select("set", "text")
     both = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("set").alias("b"), F.col("text").alias("y")), "b")
 
@@ -346,22 +373,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int)
     return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def _pairs_left(long: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Pairs in long lists that the components found so far do not answer."""
+def _open_lists(long: DataFrame, links: DataFrame) -> DataFrame | None:
+    """Entries (token, set, n, pos, root, main) of the long lists whose sets are in several components."""
     roots = components(links).select(F.col("node").alias("set"), "root")
     e = cut(long.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
     kinds = e.groupBy("token", "root").count().groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("root", F.struct("count", "root")).alias("main"))
-    kinds = cut(kinds.filter("kinds > 1").drop("kinds"))
-    e = cut(e.join(kinds, "token"))
-    outside = e.filter("root != main").select("token", *(F.col(c).alias(f"{c}_") for c in ("set", "root", "n", "pos")))
-    pair = e.join(outside, "token").filter((F.col("root") != F.col("root_")) & (F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent))
+    e = cut(e.join(cut(kinds.filter("kinds > 1").drop("kinds")), "token"))
+    return None if e.isEmpty() else e
+
+
+def _cross_pairs(outside: DataFrame, others: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the list entries outside the largest component with others of their list, by size, position and bitmap."""
+    bits = kinds.select("set", *_BITS)
+    names = ["set", "root", "n", "pos", *_BITS]
+    o = outside.join(bits, "set").select("token", *(F.col(c).alias(f"{c}_") for c in names))
     reach = F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) + F.least("pos", "pos_")
-    pair = pair.filter(reach * (100 + percent) >= (F.col("n") + F.col("n_")) * percent)
-    return cut(pair.select(F.least("set", "set_").alias("a"), F.greatest("set", "set_").alias("b")).distinct())
+    fits = (F.col("root") != F.col("root_")) & (F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent) & (reach * (100 + percent) >= (F.col("n") + F.col("n_")) * percent)
+    others = others.join(bits, "set").select(F.col("token").alias("t"), *names)
+    pair = others.join(o, (F.col("t") == F.col("token")) & fits & _bits_allow(percent))
+    return pair.select(F.least("set", "set_").alias("a"), F.greatest("set", "set_").alias("b")).distinct()
 
 
 def join_sets(docs: DataFrame, percent: int = PERCENT, long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
-    """(rows (doc_id, row, n, set), verified links (a, b) between set numbers) of (doc_id, text) rows.
+    """(rows (doc_id, row, n, set, ..), verified links (a, b) between set numbers) of (doc_id, text) rows.
 
     The links connect every pair of linked sets, if not each directly.
     """
@@ -374,13 +408,22 @@ def join_sets(docs: DataFrame, percent: int = PERCENT, long_list: int = LONG_LIS
     lists = _entries(docs, order, order_log2, parts_log2, percent).groupBy("part").applyInArrow(_lists_of_part(percent, long_list), "a long, b long, token long, set long, n long, pos long")
     lists = cut(lists)
     pairs = cut(lists.filter("a IS NOT NULL").select("a", "b").distinct())
-    links = _verified(pairs, docs, sets, percent)
+    kinds = cut(_by_set(sets))
+    links = _verified(pairs, docs, kinds, percent)
     long = lists.filter("a IS NULL").select("token", "set", "n", "pos")
-    if not long.isEmpty():
-        left = _pairs_left(long, links, percent).join(pairs, ["a", "b"], "left_anti")
-        left = cut(left)
-        if not left.isEmpty():
-            links = cut(links.unionByName(_verified(left, docs, sets, percent)))
+    for probe in (True, False):
+        e = _open_lists(long, links)
+        if e is None:
+            break
+        outside, others = e.filter("root != main"), e
+        if probe:
+            # first a few members of the largest component, by hash: near copies mostly join it through them
+            picks = F.array(*(F.min_by(F.struct("set", "n", "pos"), F.xxhash64("set", F.lit(k))) for k in range(PROBES)))
+            others = e.filter("root = main").groupBy("token", "main").agg(F.array_distinct(picks).alias("p")).select("token", F.col("main").alias("root"), F.explode("p").alias("p")).select("token", "root", "p.*")
+        left = cut(_cross_pairs(outside, others, kinds, percent))
+        tested = left.join(pairs, ["a", "b"], "left_anti")
+        links = cut(links.unionByName(_verified(tested, docs, kinds, percent)))
+        pairs = cut(pairs.unionByName(left).distinct())
     return sets, links
 
 
