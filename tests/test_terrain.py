@@ -222,11 +222,9 @@ def test_breach_single_cell(spark, size):
     [
         ({(0, 3): -2}, {(1, 3): -4 / 3, (2, 3): -2 / 3}),
         ({(0, 3): None}, {(1, 3): -2e-5, (2, 3): -1e-5}),
-        ({(0, 3): -2, (1, 3): 0, (2, 3): 0}, {}),
     ],
 )
 def test_breach(spark, changes, want, size):
-    """Flat path cells at the pit's own level stay as they are."""
     z = [[2.0] * 7 for _ in range(7)]
     z[3][3] = 0.0
     for (r, c), v in changes.items():
@@ -238,6 +236,13 @@ def test_breach(spark, changes, want, size):
     np.testing.assert_allclose(got, expected, rtol=1e-6)
 
 
+def test_level_path_stays():
+    """Cells of a least-cost path at the pit's own level are not cut."""
+    z = np.full((7, 7), 2.0)
+    z[1:4, 3], z[0, 3] = 0.0, -2.0
+    assert breach.least_cost_cuts(z, 3, 3, 3) == [(0, 3, -2.0)]
+
+
 def test_breach_is_tile_invariant_and_only_lowers(spark):
     z = np.random.default_rng(0).uniform(1, 10, (20, 24))
     dem = grid(spark, z.tolist(), "z", "double")
