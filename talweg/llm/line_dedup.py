@@ -6,9 +6,10 @@ give candidate pairs, exact Jaccard similarity verifies them, and distributed
 union-find joins them to components.  Of all lines of a component, in all
 documents, the first by (doc_id, line number) stays.
 
-In a bucket of more than ``SMALL`` equal bands, each line is paired with the bucket's
-first and with its neighbour in an order that differs between buckets, never with all;
-what a bucket leaves out, other bands and the components' transitivity connect.  Pairs whose sketches agree in
+In a bucket of more than ``SMALL`` equal bands, each line is first paired with the bucket's
+first and with its neighbour in an order that differs between buckets.  Of a bucket whose lines
+are then in several components, the lines outside its largest one are compared with all others of the
+bucket, in blocks, so no pair that shares a band is left out.  Pairs whose sketches agree in
 too few bits are not verified.
 
 Defined cases: blank lines are no candidates and stay; a line shorter than a shingle
@@ -36,6 +37,7 @@ BINS, ROWS = 96, 6  # 16 bands of 6: a pair at 0.8 shares a band in 99 of 100 ca
 SKETCH_BITS, SHORT_BITS, SHORT = 46, 42, 150
 CHARS = 1 << 20  # characters signed at once
 SMALL = 3  # lines of a bucket whose pairs are all candidates
+BLOCK = 512  # lines of a large bucket that are compared at once with as many others
 PER_PART = 1 << 21  # band keys in one part
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -130,12 +132,16 @@ def _bands(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("__lines", "__ids").mapInArrow(run, "part int, a0 binary, a1 binary, a2 binary")
 
 
-def _pairs_of_part(table: pa.Table) -> pa.Table:
-    """Candidate pairs in a part: all of a small bucket, else each line with the first and the next."""
+def _pairs_of_part(key: tuple, table: pa.Table) -> pa.Table:
+    """Candidate pairs in a part: all of a small bucket, else each line with the first and the next.
+
+    The lines of large buckets follow, with their sketches, for ``_cross_pairs``.
+    """
     keys, ids, bits = gathered(table.column("a0"), "<u4"), gathered(table.column("a1"), "<i8"), gathered(table.column("a2"), "<u8")
     # a different order in each bucket, so each has another head
     wide = keys.astype(np.uint64)
     order = np.argsort(wide << np.uint64(32) | mix64(ids.view(np.uint64) ^ mix64(wide)) >> np.uint64(32))
+    order = order[np.concatenate([[True], (keys[order[1:]] != keys[order[:-1]]) | (ids[order[1:]] != ids[order[:-1]])])[: len(order)]]  # lines that several tasks saw
     keys, ids, bits = keys[order], ids[order], bits[order]
     begin = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
     first = np.flatnonzero(begin)
@@ -153,7 +159,56 @@ def _pairs_of_part(table: pa.Table) -> pa.Table:
     a, b = ids[p[alike]], ids[q[alike]]
     lo, hi = np.minimum(a, b), np.maximum(a, b)
     pair = np.unique(np.stack([lo[lo != hi], hi[lo != hi]], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
+    large = np.flatnonzero(length > SMALL)
+    bucket = (np.int64(key[0].as_py()) << np.int64(32)) | keys[large].astype(np.int64)
+    none, zeros = pa.nulls(len(large), pa.int64()), pa.nulls(len(pair), pa.int64())
+    columns = {"a": (pair[:, 0], none), "b": (pair[:, 1], none), "bucket": (zeros, bucket), "id": (zeros, ids[large]), "bits": (zeros, bits[large].view(np.int64))}
+    return pa.table({c: pa.concat_arrays([pa.array(x, pa.int64()) for x in both]) for c, both in columns.items()})
+
+
+def _cross_pairs(large: DataFrame, links: DataFrame) -> DataFrame:
+    """The other candidates of large buckets (bucket, id, bits): lines outside a bucket's largest component with all not of their own.
+
+    Buckets are cut into blocks by hash, so that a hot one is compared by many tasks.
+    """
+    e = cut(large.join(components(links).select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    kinds = e.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
+    kinds = kinds.agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    e = cut(e.join(cut(kinds.filter("kinds > 1")), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))))
+
+    def blocks(rows: DataFrame, end: str) -> DataFrame:
+        lists = [F.collect_list(F.struct("id", "root", "bits")).alias(f"e{end}")]
+        return cut(rows.groupBy("bucket", F.col("block").alias(f"block{end}")).agg(*lists))
+
+    outside, others = blocks(e.filter("root != main"), "_"), blocks(e, "")
+
+    def arrays(entries: pa.ListScalar) -> list[np.ndarray]:
+        return [entries.values.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            a, b = np.concatenate(held, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                (i, r, v), (j, q, w) = arrays(x), arrays(y)
+                for k in range(0, len(i), BLOCK):
+                    own = slice(k, k + BLOCK)
+                    p, o = np.nonzero(sketches_agree(v[own, None].view(np.uint64), w[None].view(np.uint64)) & (r[own, None] != q[None]))
+                    held.append(np.stack([i[own][p], j[o]]))
+                    size += len(p)
+                    if size >= CHARS:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+
+    # the pairs of blocks are dealt anew, as one bucket may have many
+    both = outside.join(others, "bucket").repartition(F.xxhash64("bucket", "block", "block_")).select("e_", "e")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def shingles(s: str) -> set[str]:
@@ -183,10 +238,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
-    """Verified (a, b) pairs of ids of different lines, from rows with __lines and __ids."""
+    """Verified (a, b) pairs of ids of different lines, from rows with __lines and __ids.
+
+    They connect every similar pair that shares a band, if not each directly.
+    """
     parts = part_count(docs.count() * 10 * BINS // ROWS, PER_PART, docs)
-    pairs = _bands(docs, parts).groupBy("part").applyInArrow(_pairs_of_part, "a long, b long").distinct()
-    pairs = cut(pairs)
+    found = cut(_bands(docs, parts).groupBy("part").applyInArrow(_pairs_of_part, "a long, b long, bucket long, id long, bits long"))
+    pairs = cut(found.filter("a IS NOT NULL").select("a", "b").distinct())
+    links = cut(_verified(pairs, docs))
+    large = found.filter("a IS NULL").select("bucket", "id", "bits")
+    if large.isEmpty():
+        return links
+    more = cut(_cross_pairs(large, links).join(pairs, ["a", "b"], "left_anti"))
+    return links if more.isEmpty() else links.unionByName(cut(_verified(more, docs)))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The checkpointed (a, b) pairs whose lines are similar."""
     ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     lines = docs.select(F.explode(F.arrays_zip("__ids", "__lines")).alias("z")).select(F.col("z.__ids").alias("id"), F.col("z.__lines").alias("line"))
     lines = cut(restricted(lines, "id", ids).groupBy("id").agg(F.min("line").alias("line")))

@@ -159,6 +159,18 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup_lines(odd.documents(spark)).count() == len(odd.TEXTS)
 
 
+def test_line_dedup_template_family(spark):
+    """Lines of one template are alike at 0.75, so they fill the same buckets; the pairs above 0.8 among them are all found."""
+    rng = np.random.default_rng(7)
+    word = lambda n, letters="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(list(letters), n))
+    head, tail = word(100), word(110)
+    lines = [head + word(30) + tail for _ in range(1000)]
+    copies = [s[:170] + word(20, "0123456789") + s[190:] for s in lines[:200]]
+    rows = [*enumerate(lines), *enumerate(copies, 1000)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i < 1000 else "" for i, t in rows}
+
+
 # --- n-gram Jaccard join
 
 
