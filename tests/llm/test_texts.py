@@ -171,6 +171,19 @@ def test_line_dedup_template_family(spark):
     assert got == {i: t if i < 1000 else "" for i, t in rows}
 
 
+def test_line_dedup_recall_at_threshold():
+    """Of pairs just above 0.8, at most 1 in 1000 shares no band or is dropped by its sketches."""
+    rng = np.random.default_rng(3)
+    word = lambda n, letters="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(list(letters), n))
+    x = [word(400) for _ in range(3000)]
+    y = [s[:200] + word(39, "0123456789") + s[239:] for s in x]
+    assert all(0.8 <= (lambda p, q: len(p & q) / len(p | q))(line_dedup.shingles(a), line_dedup.shingles(b)) < 0.81 for a, b in zip(x, y, strict=True))
+    p, q = line_dedup.signatures(x), line_dedup.signatures(y)
+    found = (line_dedup.band_keys(p) == line_dedup.band_keys(q)).any(axis=1)
+    found &= line_dedup.sketches_agree(*(line_dedup.sketches(s, np.zeros(len(s))) for s in (p, q)))
+    assert (~found).sum() <= 3
+
+
 # --- n-gram Jaccard join
 
 
