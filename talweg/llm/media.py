@@ -194,28 +194,61 @@ SUMMARY_SCHEMA = (
 )
 
 
+def with_tensors(df: DataFrame, media: str = "media") -> DataFrame:
+    """Add ``tensors``: the (FRAMES, MELS) float32 values of each tensor, row-major, with its number of frames and time span."""
+    item = pa.struct([("from_s", pa.float64()), ("to_s", pa.float64()), ("frames", pa.int32()), ("tensor", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(media)
+            for k, v in enumerate(b.column(at)):
+                mel, _, step = features(*reversed(unwav(v.as_py())))
+                n = -(-len(mel) // FRAMES)
+                full = np.full((n * FRAMES, MELS), np.log(FLOOR), np.float32)
+                full[: len(mel)] = mel
+                rows = [{"from_s": i * step, "to_s": min(i + FRAMES, len(mel)) * step, "frames": min(FRAMES, len(mel) - i), "tensor": full[i : i + FRAMES].tobytes()} for i in range(0, n * FRAMES, FRAMES)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in b.columns), pa.array([rows], pa.list_(item))], names=[*b.schema.names, "tensors"])
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return df.mapInArrow(run, f"{fields}, tensors array<struct<from_s: double, to_s: double, frames: int, tensor: binary>>")
+
+
+def frames_of(tensors: list[dict]) -> np.ndarray:
+    """The (frames, MELS) log-mel values of a row's tensors read back, without the padding."""
+    return np.concatenate([np.frombuffer(t["tensor"], np.float32).reshape(FRAMES, MELS)[: t["frames"]] for t in tensors])
+
+
 def summaries(df: DataFrame, media: str = "media") -> DataFrame:
     """One row per media row: digests of the bytes read back, a feature string and time spans.
 
-    The feature string has the mean and spread of each mel band and the number of segments.
+    The feature string has the mean and spread of each mel band and the number of segments.  With a ``tensors``
+    column (``with_tensors``) frames, shape and spans come from it, else they are computed here.
     """
-    kept = [(c, t) for c, t in df.dtypes if c != media]
+    stored = "tensors" in df.columns
+    kept = [(c, t) for c, t in df.dtypes if c not in (media, "tensors")]
     spans_type = pa.list_(pa.struct([("from_s", pa.float64()), ("to_s", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(media)
             out = []
-            for v in b.column(at):
+            tensors = b.column(b.schema.get_field_index("tensors")) if stored else None
+            for k, v in enumerate(b.column(at)):
                 data = v.as_py()
                 rate, samples = unwav(data)
-                mel, spans, step = features(samples, rate)
+                if stored:
+                    own = tensors[k].as_py()
+                    mel, step, n = frames_of(own), HOP / (rate * UP // DOWN), len(own)
+                    spans = segments(mel)
+                else:
+                    mel, spans, step = features(samples, rate)
+                    n = -(-len(mel) // FRAMES)
                 text = ",".join(f"{x:.3f}" for x in np.concatenate([mel.mean(axis=0, dtype=np.float64), mel.std(axis=0, dtype=np.float64)]))
                 out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{len(spans)};{text}",
-                            len(samples) / rate, len(mel), f"{-(-len(mel) // FRAMES)}x{FRAMES}x{MELS}", [{"from_s": a * step, "to_s": z * step} for a, z in spans]))
+                            len(samples) / rate, len(mel), f"{n}x{FRAMES}x{MELS}", [{"from_s": a * step, "to_s": z * step} for a, z in spans]))
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.string(), spans_type]
             cols = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * len(types), types, strict=True)]
-            keep = [i for i in range(b.num_columns) if i != at]
+            keep = [i for i, c in enumerate(b.schema.names) if c not in (media, "tensors")]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *cols], names=[*(b.schema.names[i] for i in keep), *(x.strip().split(" ")[0] for x in SUMMARY_SCHEMA.split(", ")[:10])])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in kept)

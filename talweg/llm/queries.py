@@ -39,7 +39,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = media.text_payload(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.length("payload").cast("long").alias("n_bytes"), "payload")
-    return media.summaries(stored(media.media_column(docs, "payload"), "media"))
+    return media.summaries(stored(media.with_tensors(media.media_column(docs, "payload")), "media"))
 
 
 def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 import odd
 from talweg.llm import media, queries, url_filter, warc
-from talweg.llm.common import scratch
+from talweg.llm.common import scratch, stored
 
 URLS = ["http://a.net/x", "https://EXAMPLE.net/en/1?q", "http://www.example.net/en/", "http://example.com/de/7#f", "http://x.org/fr/1", "ftp://b.org", "no scheme", None, "", "http://net", "http://a.net", "http://user@c.net:80/en/", "x://y://z.net/"]
 
@@ -138,3 +138,18 @@ def test_tensors(spark):
     tensors = media.as_tensors(table.column("tensor"))
     assert tensors.type.shape == [media.FRAMES, media.MELS] and len(tensors) == table.num_rows > 2
     assert all(b > a for a, b in zip(table.column("from_s").to_pylist(), table.column("to_s").to_pylist(), strict=True))
+
+
+def test_summaries_from_stored_tensors(spark, monkeypatch):
+    """op7 stores the tensors of every document, and what it returns is derived from them."""
+    kept = []
+    monkeypatch.setattr(queries, "stored", lambda df, name: kept.append(stored(df, name)) or kept[-1])
+    monkeypatch.setattr(queries, "_table", lambda *_: odd.documents(spark))
+    got = sorted(map(str, queries.op7_media(spark, "").collect()))
+    rows = kept[0].collect()
+    assert len(rows) == len(odd.TEXTS)
+    for r in rows:
+        mel, _, step = media.features(*reversed(media.unwav(bytes(r.media))))
+        assert {len(t.tensor) for t in r.tensors} == {4 * media.FRAMES * media.MELS} and r.tensors[-1].to_s == len(mel) * step
+        assert np.allclose(media.frames_of([t.asDict() for t in r.tensors]), mel, atol=1e-3)
+    assert got == sorted(map(str, media.summaries(kept[0].drop("tensors")).collect()))
