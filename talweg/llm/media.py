@@ -140,7 +140,8 @@ def features(samples: bytes, rate: int = RATE) -> tuple[np.ndarray, list[tuple[i
 
 
 def media_column(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
-    """Replace the binary column ``payload`` by its WAV bytes in ``out``."""
+    """Replace the binary column ``payload`` by its WAV bytes in ``out``; another column of that name goes."""
+    df = df if out == payload else df.drop(out)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
@@ -195,7 +196,11 @@ SUMMARY_SCHEMA = (
 
 
 def with_tensors(df: DataFrame, media: str = "media") -> DataFrame:
-    """Add ``tensors``: the (FRAMES, MELS) float32 values of each tensor, row-major, with its number of frames and time span."""
+    """Add ``tensors``: the (FRAMES, MELS) float32 values of each tensor, row-major, with its number of frames and time span.
+
+    An existing column of that name is replaced.
+    """
+    df = df.drop("tensors")
     item = pa.struct([("from_s", pa.float64()), ("to_s", pa.float64()), ("frames", pa.int32()), ("tensor", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +228,9 @@ def summaries(df: DataFrame, media: str = "media") -> DataFrame:
 
     The feature string has the mean and spread of each mel band and the number of segments.  With a ``tensors``
     column (``with_tensors``) frames, shape and spans come from it, else they are computed here.
+    Columns named as those of ``SUMMARY_SCHEMA`` are replaced.
     """
+    df = df.drop(*(x.strip().split(" ")[0] for x in SUMMARY_SCHEMA.split(", ")[:10]))
     stored = "tensors" in df.columns
     kept = [(c, t) for c, t in df.dtypes if c not in (media, "tensors")]
     spans_type = pa.list_(pa.struct([("from_s", pa.float64()), ("to_s", pa.float64())]))
@@ -256,5 +263,5 @@ def summaries(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def text_payload(df: DataFrame, text: str = "text", out: str = "payload") -> DataFrame:
-    """The UTF-8 bytes of a text column (null: empty)."""
+    """The UTF-8 bytes of a text column (null: empty), in place of a column ``out`` if there is one."""
     return df.withColumn(out, F.encode(F.coalesce(text, F.lit("")), "UTF-8"))

@@ -89,13 +89,15 @@ def match(root: dict, host: str, path: str) -> tuple[str, str] | None:
 def filter_urls(df: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url", default: str = "allow", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add host, path, rule and verdict to every row.
 
-    ``rules`` is a list, or a DataFrame (action, host, path).  The size of a
+    ``rules`` is a list, or a DataFrame (action, host, path), in which a null host or
+    path is empty and rows without an action are no rules.  The size of a
     DataFrame is measured first: up to ``broadcast_bytes`` it becomes a broadcast
     trie, beyond that it is joined by its keys.
     """
     host, path = host_and_path(F.col(url))
     df = df.withColumns({"host": host, "path": path}).drop("rule", "verdict")
     if isinstance(rules, DataFrame):
+        rules = rules.select("action", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).filter("action IS NOT NULL")
         n = rules.agg(F.sum(F.length("host") + F.length("path") + 200)).first()[0] or 0
         if n > broadcast_bytes:
             return _joined(df, rules, default)

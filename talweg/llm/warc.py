@@ -7,7 +7,9 @@ number, verifies the total length and undoes HTTP chunked transfer framing.
 Defined cases: a null payload is empty; a null id or url leaves its header out; rows
 repeated with the same id stay apart; a record of which a segment is missing, is
 repeated, or whose length differs from the total has status ``incomplete`` and null
-payload; broken chunk framing has status ``bad_framing``.  Empty tables write no
+payload; broken chunk framing has status ``bad_framing``; a payload whose SHA-1 differs from the
+declared one keeps its bytes and both digests, and has status ``bad_digest``.  Equal rows of the largest
+id of a group are all responses.  Archives may be compressed (``.gz``) or not.  Empty tables write no
 archive and read back as no rows.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import posixpath
 import re
 import uuid
@@ -199,6 +202,12 @@ def _number(text: str | None) -> int | None:
     return int(text) if text and re.fullmatch(r"-?\d+", text) else None
 
 
+def _sha1_of(declared: str) -> str | None:
+    """The base32 digest of a ``sha1:`` declaration; other algorithms are not verified."""
+    label, _, digest = declared.partition(":")
+    return digest.strip().upper() or None if label.strip().lower() == "sha1" else None
+
+
 def read_records(manifest: DataFrame) -> DataFrame:
     """Every record of the archives named in column ``path``; one task reads a file as a stream."""
 
@@ -208,7 +217,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
             for path in b.column("path").to_pylist():
                 fs, p = _filesystem(path)
                 with fs.open_input_stream(p, compression=None, buffer_size=1 << 20) as raw:
-                    stream = gzip.GzipFile(fileobj=raw) if p.endswith(".gz") else raw
+                    stream = gzip.GzipFile(fileobj=raw) if p.endswith(".gz") else io.BufferedReader(raw)
                     for h, block in parse_records(stream):
                         kind, ref = h.get("warc-type"), h.get("warc-refers-to", "")
                         first = h.get("warc-record-id")
@@ -216,7 +225,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                             "record_id": first, "record_type": kind, "origin_id": h.get("warc-segment-origin-id", first), "segment": _number(h.get("warc-segment-number")),
                             "total_length": _number(h.get("warc-segment-total-length")), "page_id": _number(h.get("x-page-id")), "target_uri": h.get("warc-target-uri"),
                             "refers_to": _number(ref[len(_URN) + 1 : -1]) if ref.startswith(f"<{_URN}") else None,
-                            "payload_digest": h.get("warc-payload-digest", "").rpartition(":")[2] or None, "block": block,
+                            "payload_digest": _sha1_of(h.get("warc-payload-digest", "")), "block": block,
                         })
                         held += len(block)
                         if held > 8 << 20 or len(rows) >= 2000:
@@ -249,6 +258,8 @@ def _decode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         status = "bad_framing"
                     else:
                         n, digest = len(payload), base32_sha1(payload)
+                        if r["payload_digest"] not in (None, digest):
+                            status = "bad_digest"
             out.append((r["record_id"], r["page_id"], r["target_uri"], r["record_type"], r["refers_to"], n, digest, r["payload_digest"], payload, status))
         cols = list(zip(*out, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import odd
 from talweg.llm import media, queries, url_filter, warc
@@ -36,6 +37,14 @@ def test_urls(spark, most):
         assert got[i] == brute(u, rules), u
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_urls_rules_with_nulls(spark, most):
+    df = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
+    rules = spark.createDataFrame([("block", None, None), ("block", "net", None), (None, "a.net", "/")], "action string, host string, path string")
+    r = url_filter.filter_urls(df, rules, broadcast_bytes=most).first()
+    assert (r.rule, r.verdict) == ("net", "block")
+
+
 def test_urls_rules_table_and_empty(spark):
     df = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     rules = spark.createDataFrame(queries.URL_RULES, "action string, host string, path string")
@@ -88,6 +97,16 @@ def test_broken_segments(spark):
     assert [r.status for r in warc.reassemble(lost).collect()] == ["incomplete"]
 
 
+def test_uncompressed_archives_and_digests(spark, tmp_path):
+    whole = b"".join(b"".join(warc.page_records(i, "u", bytes([65 + i]) * 3000, "response", None, "x", 1000)) for i in range(3))
+    other = b"".join(warc.page_records(9, "u", b"text", "response", None, "x")).replace(b"sha1:", b"md5:")
+    (tmp_path / "a.warc").write_bytes(whole.replace(b"B" * 500, b"B" * 499 + b"x", 1) + other)
+    manifest = spark.createDataFrame([(str(tmp_path / "a.warc"),)], "path string")
+    got = {r.page_id: r for r in warc.read_archives(spark, manifest).collect()}
+    assert {i: r.status for i, r in got.items()} == {0: "ok", 1: "bad_digest", 2: "ok", 9: "ok"}
+    assert got[1].declared_digest == warc.base32_sha1(b"B" * 3000) != got[1].payload_digest == warc.base32_sha1(bytes(got[1].payload))
+
+
 def test_empty_archives(spark):
     df = spark.createDataFrame([], "page_id long, url string, payload binary")
     assert warc.read_archives(spark, warc.write_archives(warc.mark_revisits(df), scratch(spark, "t"))).count() == 0
@@ -132,6 +151,32 @@ def test_media_rows(spark):
     assert media.summaries(media.media_column(docs.limit(0).select("doc_id", "payload"), "payload")).count() == 0
 
 
+def test_media_clashing_columns(spark):
+    """Columns named as an output are replaced, others are kept."""
+    docs = odd.documents(spark).withColumns({c: F.lit("old") for c in ("media", "tensors", "payload", "feature", "spans", "other")})
+    got = media.summaries(media.with_tensors(media.media_column(media.text_payload(docs), "payload"))).collect()
+    assert len(got) == len(odd.TEXTS) and {r.other for r in got} == {"old"} and "old" not in {r.feature for r in got}
+
+
+def slow_segments(db, high, low):
+    spans, begin = [], None
+    for i, v in enumerate(db):
+        if begin is None and v >= high:
+            begin = i
+        elif begin is not None and v < low:
+            spans.append((begin, i))
+            begin = None
+    return spans + ([(begin, len(db))] if begin is not None else [])
+
+
+@given(st.lists(st.floats(-30, 30, width=32), min_size=1, max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_hysteresis(values):
+    mel = np.array(values, np.float32)[:, None] * np.log(10) / 10
+    db = 10 / np.log(10) * mel.max(axis=1)
+    assert media.segments(mel) == slow_segments((db - db.mean()).tolist(), media.HIGH_DB, media.LOW_DB)
+
+
 def test_tensors(spark):
     docs = media.text_payload(odd.documents(spark).filter("doc_id IN (1, 5)")).select("doc_id", "payload")
     table = media.tensor_rows(media.media_column(docs, "payload"), "doc_id").toArrow()
