@@ -14,6 +14,7 @@ pieces; equal rows are packed each for itself.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -55,13 +56,30 @@ class _Recent(dict):
         return got
 
 
+# fixed values: the steps of the tokenizer file for which texts may be cut into chunks
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _steps(path: str) -> tuple:
+    """The normalizers and pre-tokenizers of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    return (found.get("normalizer") or {}).get("normalizers"), (found.get("pre_tokenizer") or {}).get("pretokenizers")
+
+
 class ChunkTokenizer:
     """Ids of whole texts as little-endian uint32 bytes, by caches of chunks and of words.
 
     The tokenizer drops white space and never looks across it, so a text's ids are
     those of its white-space separated chunks in a row.  In texts of plain Latin letters
     and marks, chunks are cut into the tokenizer's own words, which recur more often;
-    chunks of other texts go to the tokenizer whole.
+    chunks of other texts go to the tokenizer whole.  A file whose steps before the model
+    are not these has its texts encoded whole by the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -69,8 +87,8 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        # fixed value: the tokenizer file's own split pattern
-        self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self._known = _steps(path) == (_NORMALIZERS, _PRE_TOKENIZERS)
+        self._split = regex.compile(_SPLIT).findall
         self._bpe = self._tok.model.tokenize
         self._word = _Recent(self._of_word, CACHE_WORDS)
         self._chunk = _Recent(self._of_plain_chunk, CACHE_CHUNKS)
@@ -93,6 +111,8 @@ class ChunkTokenizer:
         return b"".join(map(self._word.__getitem__, self._split(chunk)))
 
     def encode(self, text: str) -> bytes:
+        if not self._known:
+            return self._ids(text)
         if _PLAIN(text):
             return b"".join(map(self._chunk.__getitem__, text.lower().split()))
         if _ODD_SPACE(text):  # white space to str.split, not to the tokenizer
