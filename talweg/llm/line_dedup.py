@@ -6,11 +6,12 @@ give candidate pairs, exact Jaccard similarity verifies them, and distributed
 union-find joins them to components.  Of all lines of a component, in all
 documents, the first by (doc_id, line number) stays.
 
-In a bucket of more than ``SMALL`` equal bands, each line is first paired with the bucket's
-first and with its neighbour in an order that differs between buckets.  Of a bucket whose lines
-are then in several components, the lines outside its largest one are compared with all others of the
-bucket, in blocks, so no pair that shares a band is left out.  Pairs whose sketches agree in
-too few bits are not verified.
+All pairs of a bucket of at most ``SMALL`` equal bands are candidates.  In a larger one each line is
+first paired with the bucket's first and with its neighbour in an order that differs between buckets.
+Where its lines are then in several components, the lines outside the largest one are compared with all
+others of the bucket, in blocks that hold the lines themselves and test the exact similarity, so no pair that
+shares a band is left out and only links between components leave a block.  Pairs whose sketches agree in too few bits are
+not verified.
 
 Defined cases: blank lines are no candidates and stay; a line shorter than a shingle
 is one shingle; null text stays null and has no lines; a document may be left with
@@ -36,8 +37,11 @@ BINS, ROWS = 64, 4  # 16 bands of 4: a pair at 0.8 is missed about twice in 10,0
 #: fill few bins, so their sketches vary more.
 SKETCH_BITS, SHORT_BITS, SHORT = 46, 42, 150
 CHARS = 1 << 20  # characters signed at once
-SMALL = 3  # lines of a bucket whose pairs are all candidates
-BLOCK = 512  # lines of a large bucket that are compared at once with as many others
+SMALL = 64  # lines of a bucket whose pairs are all candidates
+BLOCK = 1024  # lines of a large bucket that are compared at once with as many others
+BLOCK_CHARS = 1 << 19  # characters of a block from which it is cut further, unless it is one line
+PAIRS_PER_PART = 64  # pairs of blocks in one part
+CELLS = 1 << 22  # cells of a matrix of lines and shingles
 PER_PART = 1 << 21  # band keys in one part
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -135,7 +139,7 @@ def _bands(docs: DataFrame, parts: int) -> DataFrame:
 def _pairs_of_part(key: tuple, table: pa.Table) -> pa.Table:
     """Candidate pairs in a part: all of a small bucket, else each line with the first and the next.
 
-    The lines of large buckets follow, with their sketches, for ``_cross_pairs``.
+    The lines of large buckets follow, with their sketches, for ``_cross_links``.
     """
     keys, ids, bits = gathered(table.column("a0"), "<u4"), gathered(table.column("a1"), "<i8"), gathered(table.column("a2"), "<u8")
     # a different order in each bucket, so each has another head
@@ -148,10 +152,12 @@ def _pairs_of_part(key: tuple, table: pa.Table) -> pa.Table:
     length = np.repeat(np.diff(np.concatenate([first, [len(keys)]])), np.diff(np.concatenate([first, [len(keys)]])))
     inner = np.flatnonzero(~begin)
     head = np.maximum.accumulate(np.where(begin, np.arange(len(ids)), 0))[inner]
-    p, q = [head], [inner]
-    for k in range(1, SMALL):
-        i = np.flatnonzero(keys[k:] == keys[:-k])
-        i = i[(length[i] <= SMALL) | (k == 1)]
+    # each line with the next, and in small buckets with all that follow
+    i = inner - 1
+    p, q = [head, i], [inner, inner]
+    for k in range(2, SMALL):
+        i = i[(length[i] <= SMALL) & (i + k < len(keys))]
+        i = i[keys[i + k] == keys[i]]
         p.append(i)
         q.append(i + k)
     p, q = np.concatenate(p), np.concatenate(q)
@@ -166,49 +172,104 @@ def _pairs_of_part(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({c: pa.concat_arrays([pa.array(x, pa.int64()) for x in both]) for c, both in columns.items()})
 
 
-def _cross_pairs(large: DataFrame, links: DataFrame) -> DataFrame:
-    """The other candidates of large buckets (bucket, id, bits): lines outside a bucket's largest component with all not of their own.
+def _different(a: np.ndarray) -> np.ndarray:
+    """The different values in order; sorting alone is faster than ``np.unique`` with its places."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])]
 
+
+def _shingle_ids(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, shingle) numbers of each line's different shingles, without hashing: equal numbers are equal shingles."""
+    n = np.array([max(len(t), SHINGLE) for t in lines])
+    text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(n)
+    begin = ends - n
+    c = np.zeros(ends[-1], np.uint64)  # 0 fills lines shorter than a shingle
+    letters, rank = np.unique(text, return_inverse=True)
+    own = np.array([len(t) for t in lines])
+    c[np.arange(len(text)) + np.repeat(begin - np.cumsum(own) + own, own)] = rank.astype(np.uint64) + np.uint64(1)
+    each = n - SHINGLE + 1
+    line = np.repeat(np.arange(len(lines)), each)
+    at = np.arange(len(line)) + line * (SHINGLE - 1)
+    width = np.uint64(int(len(letters)).bit_length())
+    if SHINGLE * int(width) <= 64:
+        code = c[at]
+        for k in range(1, SHINGLE):
+            code = code << width | c[at + k]
+    else:
+        # too many different letters for one number: pairs of letters are numbered first
+        code = c[at]
+        for k in range(1, SHINGLE):
+            code = np.searchsorted(_different(code), code).astype(np.uint64) << np.uint64(32) | c[at + k]
+    values = _different(code)
+    both = _different(line * np.int64(len(values)) + np.searchsorted(values, code))
+    return both // len(values), both % len(values)
+
+
+def alike_in_block(x: list[str], y: list[str], similarity: float = SIMILARITY) -> np.ndarray:
+    """(len(x), len(y)) exact test of every line of x with every one of y, as ``jaccard_at_least``."""
+    line, code = _shingle_ids(x + y)
+    n = np.bincount(line, minlength=len(x) + len(y))
+    cut_at = np.searchsorted(line, len(x))
+    left, right = (np.bincount(c, minlength=code.max() + 1) for c in (code[:cut_at], code[cut_at:]))
+    everywhere = left + right == len(x) + len(y)
+    shared = np.flatnonzero((left > 0) & (right > 0) & ~everywhere)
+    place = np.zeros(len(left), np.int64)
+    place[shared] = np.arange(1, len(shared) + 1)
+    column = place[code] - 1
+    line, column = line[column >= 0], column[column >= 0]
+    by_column = np.argsort(column, kind="stable")
+    line, column = line[by_column], column[by_column]
+    both = np.full((len(x), len(y)), everywhere.sum(), np.float32)
+    width = max(1, CELLS // (len(x) + len(y)))
+    for first in range(0, len(shared), width):
+        lo, hi = np.searchsorted(column, [first, first + width])
+        m = np.zeros((len(x) + len(y), min(width, len(shared) - first)), np.float32)
+        m[line[lo:hi], column[lo:hi] - first] = 1
+        both += m[: len(x)] @ m[len(x) :].T
+    union = n[: len(x), None] + n[None, len(x) :] - both.astype(np.float64)
+    return both >= similarity * union - 1e-12
+
+
+def _cross_links(large: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) components joined by similar lines of large buckets (bucket, id, bits), given the (node, root) found so far.
+
+    The lines outside a bucket's largest component are tested against all not of their own.
     Buckets are cut into blocks by hash, so that a hot one is compared by many tasks.
     """
-    e = cut(large.join(components(links).select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    kinds = e.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
-    kinds = kinds.agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    e = cut(e.join(cut(kinds.filter("kinds > 1")), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))))
-
-    def blocks(rows: DataFrame, end: str) -> DataFrame:
-        lists = [F.collect_list(F.struct("id", "root", "bits")).alias(f"e{end}")]
-        return cut(rows.groupBy("bucket", F.col("block").alias(f"block{end}")).agg(*lists))
-
-    outside, others = blocks(e.filter("root != main"), "_"), blocks(e, "")
-
-    def arrays(entries: pa.ListScalar) -> list[np.ndarray]:
-        return [entries.values.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
+    e = cut(large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    kinds = e.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    e = cut(e.join(cut(kinds.filter("kinds > 1").drop("kinds")), "bucket"))
+    e = cut(e.join(_lines_of(docs, cut(e.select("id").distinct())), "id"))
+    sizes = cut(e.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("line")) / BLOCK_CHARS)).alias("blocks")))
+    e = e.join(sizes, "bucket").withColumns({"in_main": F.col("root") == F.col("main"), "block": F.pmod(F.xxhash64("id"), "blocks")})
+    blocks = cut(e.groupBy("bucket", "in_main", "block").agg(F.collect_list(F.struct("root", "bits", "line")).alias("e")))
+    outside = blocks.filter("NOT in_main").select("bucket", F.col("block").alias("block_"), F.col("e").alias("e_"))
+
+    def arrays(entries: pa.ListScalar) -> tuple:
+        v = entries.values
+        return v.field("root").to_numpy(), v.field("bits").to_numpy().view(np.uint64), v.field("line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            a, b = np.concatenate(held, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                (i, r, v), (j, q, w) = arrays(x), arrays(y)
-                for k in range(0, len(i), BLOCK):
-                    own = slice(k, k + BLOCK)
-                    p, o = np.nonzero(sketches_agree(v[own, None].view(np.uint64), w[None].view(np.uint64)) & (r[own, None] != q[None]))
-                    held.append(np.stack([i[own][p], j[o]]))
-                    size += len(p)
-                    if size >= CHARS:
-                        yield flush()
-                        held, size = [], 0
-        if held:
-            yield flush()
+            links: set[tuple[int, int]] = set()
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                (r, v, x), (q, w, y) = arrays(left), arrays(right)
+                for k in range(0, len(r), BLOCK):
+                    for j in range(0, len(q), BLOCK):
+                        open_ = sketches_agree(v[k : k + BLOCK, None], w[None, j : j + BLOCK]) & (r[k : k + BLOCK, None] != q[None, j : j + BLOCK])
+                        p, o = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+                        if len(p):
+                            same = alike_in_block(x.take(pa.array(p + k)).to_pylist(), y.take(pa.array(o + j)).to_pylist()) & open_[np.ix_(p, o)]
+                            p, o = r[k + p[same.nonzero()[0]]], q[j + o[same.nonzero()[1]]]
+                            links.update(zip(np.minimum(p, o).tolist(), np.maximum(p, o).tolist(), strict=True))
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     # the pairs of blocks are dealt anew, as one bucket may have many
-    both = outside.join(others, "bucket").repartition(F.xxhash64("bucket", "block", "block_")).select("e_", "e")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    both = outside.join(blocks, "bucket").filter("in_main OR block_ <= block")
+    parts = part_count(sizes.agg(F.coalesce(F.sum(F.col("blocks") * F.col("blocks")), F.lit(0))).first()[0], PAIRS_PER_PART, docs)
+    return both.repartition(parts, F.xxhash64("bucket", "in_main", "block", "block_")).select("e_", "e").mapInArrow(run, "a long, b long").distinct()
 
 
 def shingles(s: str) -> set[str]:
@@ -237,35 +298,39 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def similar_lines(docs: DataFrame) -> DataFrame:
-    """Verified (a, b) pairs of ids of different lines, from rows with __lines and __ids.
-
-    They connect every similar pair that shares a band, if not each directly.
-    """
+def line_components(docs: DataFrame) -> DataFrame:
+    """(node, root) of the ids of similar lines, root the smallest id of its component, from rows with __lines and __ids."""
     parts = part_count(docs.count() * 10 * BINS // ROWS, PER_PART, docs)
     found = cut(_bands(docs, parts).groupBy("part").applyInArrow(_pairs_of_part, "a long, b long, bucket long, id long, bits long"))
-    pairs = cut(found.filter("a IS NOT NULL").select("a", "b").distinct())
-    links = cut(_verified(pairs, docs))
+    roots = cut(components(cut(_verified(cut(found.filter("a IS NOT NULL").select("a", "b").distinct()), docs))))
     large = found.filter("a IS NULL").select("bucket", "id", "bits")
-    if large.isEmpty():
-        return links
-    more = cut(_cross_pairs(large, links).join(pairs, ["a", "b"], "left_anti"))
-    return links if more.isEmpty() else links.unionByName(cut(_verified(more, docs)))
+    more = None if large.isEmpty() else cut(_cross_links(large, roots, docs))
+    if more is None or more.isEmpty():
+        return roots
+    # links between components, by their smallest ids
+    joined = cut(components(more).select(F.col("node").alias("root"), F.col("root").alias("least")))
+    whole = roots.join(joined, "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+    single = joined.join(roots.select("root").distinct(), "root", "left_anti")
+    return whole.unionByName(single.select(F.col("root").alias("node"), F.col("least").alias("root")))
+
+
+def _lines_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line) of the checkpointed ids."""
+    lines = docs.select(F.explode(F.arrays_zip("__ids", "__lines")).alias("z")).select(F.col("z.__ids").alias("id"), F.col("z.__lines").alias("line"))
+    return cut(restricted(lines, "id", ids).groupBy("id").agg(F.min("line").alias("line")))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The checkpointed (a, b) pairs whose lines are similar."""
-    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    lines = docs.select(F.explode(F.arrays_zip("__ids", "__lines")).alias("z")).select(F.col("z.__ids").alias("id"), F.col("z.__lines").alias("line"))
-    lines = cut(restricted(lines, "id", ids).groupBy("id").agg(F.min("line").alias("line")))
+    lines = _lines_of(docs, cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
     both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
 def line_decisions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with __row, __lines, __ids; (__row, drop array<int>) of documents that lose lines)."""
+    """(rows with __row, __lines, __ids; (__row, __drop array<int>) of documents that lose lines)."""
     rows = _line_ids(docs.withColumn("__row", F.xxhash64("doc_id", "text")))
-    roots = components(similar_lines(rows)).select(F.col("node").alias("id"), "root")
+    roots = line_components(rows).select(F.col("node").alias("id"), "root")
     spots = rows.select("doc_id", "__row", F.posexplode("__ids").alias("pos", "id")).filter("id != 0")
     # each different line: how often and where first; then each component
     lines = spots.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "__row", "pos")).alias("first"))
@@ -273,7 +338,7 @@ def line_decisions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = cut(lines.groupBy("root").agg(F.min("first").alias("kept")))
     known = cut(lines.join(kept, "root").select("id", F.col("kept.__row").alias("__keep_row"), F.col("kept.pos").alias("__keep_pos")))
     gone = spots.join(known, "id").filter((F.col("__row") != F.col("__keep_row")) | (F.col("pos") != F.col("__keep_pos")))
-    return rows, gone.groupBy("__row").agg(F.collect_set("pos").alias("drop"))
+    return rows, gone.groupBy("__row").agg(F.collect_set("pos").alias("__drop"))
 
 
 def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
@@ -283,11 +348,11 @@ def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     """
     rows, drops = line_decisions(docs)
     out = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(drops, "__row", "left")
-    left = F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("drop", i))
-    text = F.when(F.col("drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    left = F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("__drop", i))
+    text = F.when(F.col("__drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     if counts:
-        out = out.withColumns({"n_lines": F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"), "n_removed": F.coalesce(F.size("drop"), F.lit(0)).cast("long")})
-    out = out.withColumn("text", text).drop("__row", "drop")
+        out = out.withColumns({"n_lines": F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"), "n_removed": F.coalesce(F.size("__drop"), F.lit(0)).cast("long")})
+    out = out.withColumn("text", text).drop("__row", "__drop")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
     return out
