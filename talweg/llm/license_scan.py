@@ -1,9 +1,10 @@
 """License scan: an exact set-similarity join of text blocks with notice templates.
 
-A block is a run of at most ``2 * L`` words of a line, every ``L`` words, where ``L``
+A block is a run of at most ``2 * L`` words of a text, across line ends, every ``L`` words, where ``L``
 is the longest template's length; so any passage of a template's length lies whole in
 a block.  A template is found in a block if the block holds at least ``THRESHOLD`` of
-the template's distinct words.  Template words are put in the order of their
+the template's distinct words, all of those that tell licenses apart (``TELLING``), and
+none that speaks for a relative of its license (``AGAINST``).  Template words are put in the order of their
 frequency in the corpus, rarest first.  A block can only reach the threshold if it
 holds one of a template's first ``m - need + 1`` words (prefix filter), has at
 least ``need`` template words (length filter), and enough words are left after the
@@ -55,6 +56,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("apache", "You may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("mit", "Released under the MIT License."),
+    ("bsd", "Released under the BSD License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
@@ -64,6 +66,18 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+#: Words of a template without which it is not found.
+TELLING = frozenset("affero apache attribution bsd general gnu lesser mit mozilla nc sa".split())
+
+#: Words that speak against a label, as they name a relative of its license.
+AGAINST = {
+    "gpl": ("lesser", "affero"),
+    "lgpl": ("affero",),
+    "agpl": ("lesser",),
+    "cc-by": ("nc", "nd", "sa", "noncommercial", "noderivatives", "sharealike"),
+}
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
@@ -131,7 +145,7 @@ def index_of(docs: DataFrame, templates: Sequence[tuple[str, str]], threshold: f
     row a template word comes back.
     """
     sets = [_template_words(t) for _, t in templates]
-    vocabulary = sorted({w for s in sets for w in s})
+    vocabulary = sorted({w for s in sets for w in s} | {w for label, _ in templates for w in AGAINST.get(label, ())})
     words = F.regexp_extract_all("text", F.lit(whole_words(vocabulary)), F.lit(0))
     seen = docs.select(F.explode(F.array_distinct(F.transform(words, ascii_lower))).alias("w")).groupBy("w").count()
     count = dict(seen.collect())  # at most one row a template word
@@ -146,10 +160,11 @@ def index_of(docs: DataFrame, templates: Sequence[tuple[str, str]], threshold: f
 
 
 def blocks(docs: DataFrame, keys: Sequence[str], longest: int) -> DataFrame:
-    """(keys, __block): word arrays of lines, long lines as overlapping runs of words."""
-    line = docs.select(*keys, F.explode(F.split("text", "\n")).alias("__line")).select(*keys, words_of(F.col("__line")).alias("__w"))
+    """(keys, __block): word arrays of texts, as overlapping runs of words."""
+    texts = docs.select(*keys, words_of(F.col("text")).alias("__w")).filter(F.size("__w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w") - F.lit(longest)), F.lit(longest))
-    return line.filter(F.size("__w") > 0).select(*keys, "__w", F.explode(starts).alias("__s")).select(*keys, F.slice("__w", F.col("__s"), 2 * longest).alias("__block"))
+    # runs are cut before they are spread, so a long text is not copied for each of them
+    return texts.select(*keys, F.explode(F.transform(starts, lambda s: F.slice("__w", s, 2 * longest))).alias("__block"))
 
 
 def find_templates(docs: DataFrame, keys: Sequence[str], templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -170,8 +185,11 @@ def find_templates(docs: DataFrame, keys: Sequence[str], templates: Sequence[tup
     pair = pair.select(*keys, "__b", "__t", "__m", "__need").distinct()
     table = F.array(*(_strings(s) for s in sets))
     labels = _strings([label for label, _ in templates])
+    own = lambda lists: F.element_at(F.array(*map(_strings, lists)), F.col("__t") + 1)
     both = F.size(F.array_intersect("__b", F.element_at(table, F.col("__t") + 1)))
-    found = pair.withColumn("__both", both).filter(F.col("__both") >= F.col("__need"))
+    telling = F.size(F.array_except(own([[w for w in s if w in TELLING] for s in sets]), "__b")) == 0
+    against = F.arrays_overlap("__b", own([AGAINST.get(label, ()) for label, _ in templates]))
+    found = pair.withColumn("__both", both).filter((F.col("__both") >= F.col("__need")) & telling & ~against)
     return found.groupBy(*keys).agg(F.collect_set(F.element_at(labels, F.col("__t") + 1)).alias("found"), F.max(F.col("__both") / F.col("__m")).alias("score"))
 
 

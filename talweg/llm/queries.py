@@ -90,21 +90,21 @@ _WORDS = "regexp_extract_all(" + _LOW + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]
 
 
 def _license_sql() -> str:
-    """Brute force: every block of every line against every template."""
+    """Brute force: every block of every text against every template."""
     sets = [license_scan._template_words(t) for _, t in license_scan.TEMPLATES]
     longest = max(len(license_scan.re.findall(license_scan.WORD, t)) for _, t in license_scan.TEMPLATES)
     text = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({text(label)}, [{', '.join(map(text, s))}], {license_scan.math.ceil(license_scan.THRESHOLD * len(s) - 1e-9)})" for (label, _), s in zip(license_scan.TEMPLATES, sets, strict=True))
+    listed = lambda words: f"[{', '.join(map(text, words))}]::VARCHAR[]"
+    values = ", ".join(f"({text(label)}, {listed(s)}, {listed([w for w in s if w in license_scan.TELLING])}, {listed(license_scan.AGAINST.get(label, ()))}, {license_scan.math.ceil(license_scan.THRESHOLD * len(s) - 1e-9)})" for (label, _), s in zip(license_scan.TEMPLATES, sets, strict=True))
     phrases = " UNION ALL ".join(
         f"SELECT doc_id, i - 1 AS pos, {text(label)} AS label FROM d, unnest(range(1, len(w) + 1)) AS r(i) WHERE w[i:i + {len(p.split()) - 1}] = [{', '.join(map(text, p.split()))}]" for p, label in license_scan.PHRASES.items()
     )
     return f"""
 WITH d AS (SELECT doc_id, text, {_WORDS.format("text")} AS w FROM documents),
 base AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS z, list_sort(list_distinct(list(label))) AS l FROM ({phrases}) GROUP BY doc_id),
-lines AS (SELECT doc_id, {_WORDS.format("t")} AS w FROM d, unnest(string_split(coalesce(text, ''), chr(10))) AS u(t)),
-blocks AS (SELECT doc_id, w[s:s + {2 * longest - 1}] AS b FROM lines, unnest(range(1, greatest(1, len(w) - {longest}) + 1, {longest})) AS r(s) WHERE len(w) > 0),
-templates(label, words, need) AS (VALUES {values}),
-hits AS (SELECT doc_id, label, len(list_intersect(words, b)) / len(words) AS c FROM blocks, templates WHERE len(list_intersect(words, b)) >= need),
+blocks AS (SELECT doc_id, w[s:s + {2 * longest - 1}] AS b FROM d, unnest(range(1, greatest(1, len(w) - {longest}) + 1, {longest})) AS r(s) WHERE len(w) > 0),
+templates(label, words, telling, against, need) AS (VALUES {values}),
+hits AS (SELECT doc_id, label, len(list_intersect(words, b)) / len(words) AS c FROM blocks, templates WHERE len(list_intersect(words, b)) >= need AND len(list_intersect(telling, b)) = len(telling) AND NOT list_has_any(against, b)),
 found AS (SELECT doc_id, list(DISTINCT label) AS l, max(c) AS c FROM hits GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.a::BIGINT AS first_word, base.z::BIGINT AS last_word,
        array_to_string(coalesce(base.l, []), ',') AS base_labels,

@@ -32,15 +32,14 @@ def brute_labels(text):
         p = phrase.split()
         base += [(i, label) for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
     longest = max(len(WORD.findall(t)) for _, t in license_scan.TEMPLATES)
-    for line in (text or "").split("\n"):
-        w = WORD.findall(low(line))
-        for s in range(0, max(1, len(w) - longest), longest):
-            block = set(w[s : s + 2 * longest])
-            for label, t in license_scan.TEMPLATES:
-                want = set(WORD.findall(low(t)))
-                if block and len(block & want) >= math.ceil(0.8 * len(want) - 1e-9):
-                    labels.add(label)
-                    best = max(best, len(block & want) / len(want))
+    for s in range(0, max(1, len(words) - longest), longest):
+        block = set(words[s : s + 2 * longest])
+        for label, t in license_scan.TEMPLATES:
+            want = set(WORD.findall(low(t)))
+            tells = want & license_scan.TELLING <= block and not block & set(license_scan.AGAINST.get(label, ()))
+            if block and tells and len(block & want) >= math.ceil(0.8 * len(want) - 1e-9):
+                labels.add(label)
+                best = max(best, len(block & want) / len(want))
     at = [i for i, _ in base]
     names = {x for _, x in base}
     return len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(names)), ",".join(sorted(names | labels)), max(best, 1.0 if base else 0.0)
@@ -61,6 +60,27 @@ def test_license_scan(spark):
     assert license_scan.scan(odd.empty(spark)).count() == 0
 
 
+NOTICES = {
+    "This work is licensed under the GNU General Public License v3.": "gpl",
+    "This work is licensed under the GNU Lesser General Public License v3.": "lgpl",
+    "Licensed under the GNU Affero General Public License": "agpl",
+    "Licensed under CC BY 4.0.": "cc-by",
+    "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+    "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+    "Released under the BSD License.": "bsd",
+    "Released under the MIT License.": "mit",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files": "mit",
+    "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met": "bsd",
+    "You can read this under the tree in the park with a general book.": "",
+}
+
+
+def test_license_labels_of_plain_notices(spark):
+    docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan(docs).collect()}
+    assert got == dict(enumerate(NOTICES.values()))
+
+
 # --- fingerprints
 
 
