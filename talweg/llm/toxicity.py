@@ -253,8 +253,14 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> tuple[list[str], list[s
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
-    """A model of (text, toxic) rows.  The lexicon and the regression use different rows where both have enough."""
-    rows = sorted(dict(rows).items())  # each text once
+    """A model of (text, toxic) rows; the lexicon and the regression are fitted on the same rows.
+
+    A text that is labelled both ways counts once, as toxic.
+    """
+    labelled: dict[str, int] = {}
+    for t, y in rows:
+        labelled[t] = max(y, labelled.get(t, 0))
+    rows = sorted(labelled.items())
     toxic, clean = [t for t, y in rows if y], [t for t, y in rows if not y]
     if len(toxic) < MIN_DOCS or not clean:
         return Model()
