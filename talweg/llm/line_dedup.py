@@ -152,19 +152,24 @@ def _pairs_of_part(key: tuple, table: pa.Table) -> pa.Table:
     length = np.repeat(np.diff(np.concatenate([first, [len(keys)]])), np.diff(np.concatenate([first, [len(keys)]])))
     inner = np.flatnonzero(~begin)
     head = np.maximum.accumulate(np.where(begin, np.arange(len(ids)), 0))[inner]
+    # places of ids in their order, so that a pair is one number, which sorts fast
+    values, place = np.unique(ids, return_inverse=True)
+    place = place.astype(np.uint64)
+
+    def alike(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        same = sketches_agree(bits[p], bits[q])
+        x, y = place[p[same]], place[q[same]]
+        return _different((np.minimum(x, y) << np.uint64(32) | np.maximum(x, y))[x != y])
+
     # each line with the next, and in small buckets with all that follow
     i = inner - 1
-    p, q = [head, i], [inner, inner]
+    codes = [alike(head, inner), alike(i, inner)]
     for k in range(2, SMALL):
         i = i[(length[i] <= SMALL) & (i + k < len(keys))]
         i = i[keys[i + k] == keys[i]]
-        p.append(i)
-        q.append(i + k)
-    p, q = np.concatenate(p), np.concatenate(q)
-    alike = sketches_agree(bits[p], bits[q])
-    a, b = ids[p[alike]], ids[q[alike]]
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    pair = np.unique(np.stack([lo[lo != hi], hi[lo != hi]], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
+        codes.append(alike(i, i + k))
+    code = _different(np.concatenate(codes))
+    pair = np.stack([values[code >> np.uint64(32)], values[code & np.uint64(0xFFFFFFFF)]], axis=1)
     large = np.flatnonzero(length > SMALL)
     bucket = (np.int64(key[0].as_py()) << np.int64(32)) | keys[large].astype(np.int64)
     none, zeros = pa.nulls(len(large), pa.int64()), pa.nulls(len(pair), pa.int64())
@@ -175,7 +180,7 @@ def _pairs_of_part(key: tuple, table: pa.Table) -> pa.Table:
 def _different(a: np.ndarray) -> np.ndarray:
     """The different values in order; sorting alone is faster than ``np.unique`` with its places."""
     a = np.sort(a)
-    return a[np.concatenate([[True], a[1:] != a[:-1]])]
+    return a[np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]]
 
 
 def _shingle_ids(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
