@@ -8,6 +8,7 @@ from talweg.grid import GridMeta
 from talweg.operators import breach, direction, fill, network
 from talweg.plans.flowgraph import accumulation
 
+# The small grids in upper case below, here and before later tests, with the results that must come out.
 DEM = [[5, 4, 3, 2, 1], [5, 5, 5, 5, 5], [5, 5, 5, 5, 5], [5, 5, 4, 5, 5], [5, 5, 5, 5, 5]]
 FLOW = [[1, 1, 1, 1, 0], [3, 1, 1, 2, 0], [3, 7, 6, 5, 0], [3, 0, 8, 4, 0], [3, 5, 5, 5, 0]]
 
