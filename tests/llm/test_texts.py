@@ -240,6 +240,37 @@ def test_line_dedup_recall_at_threshold():
     assert (~found).sum() <= 3
 
 
+def test_line_dedup_far_lines_are_no_candidates():
+    """Of lines that share a phrase only (Jaccard about 0.15), at most 1 of 10,000 pairs is verified."""
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    lines = [word(16) + " in the end " + word(16) for _ in range(600)]
+    sig = line_dedup.signatures(lines)
+    keys, bits = line_dedup.band_keys(sig), line_dedup.sketches(sig, np.ones(len(lines)))
+    p, q = np.triu_indices(len(lines), 1)
+    found = (keys[p] == keys[q]).any(axis=1) & line_dedup.sketches_agree(bits[p], bits[q])
+    assert found.sum() <= len(p) // 10_000
+
+
+def test_line_dedup_recall_of_short_lines():
+    """Lines of 12 characters and the same with one more (7 or 8 of 9 shingles shared) are candidates."""
+    rng = np.random.default_rng(5)
+    x = ["".join(rng.choice(list("abcdefghijklmnop "), 12)) for _ in range(3000)]
+    y = [s + "z" for s in x]
+    p, q = line_dedup.signatures(x), line_dedup.signatures(y)
+    found = (line_dedup.band_keys(p) == line_dedup.band_keys(q)).any(axis=1)
+    found &= line_dedup.sketches_agree(*(line_dedup.sketches(s, np.ones(len(s))) for s in (p, q)))
+    assert (~found).sum() <= 3
+
+
+@given(st.lists(st.tuples(st.text(max_size=12), st.text(alphabet="abcé\0", max_size=12)), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_alike_pairs(pairs):
+    pairs += [(s, s + "a") for s, _ in pairs] + [(t + "x", t) for _, t in pairs]
+    x, y = [s for s, _ in pairs], [t for _, t in pairs]
+    assert line_dedup.alike_pairs(x, y).tolist() == [line_dedup.jaccard_at_least(a, b) for a, b in pairs]
+
+
 # --- n-gram Jaccard join
 
 
