@@ -32,7 +32,7 @@ SEQUENCE = 4096
 QUANTUM = 16
 END_ID = 2
 #: Strings in one generation of a worker's two caches.
-CACHE_CHUNKS, CACHE_WORDS = 60_000, 120_000
+CACHE_CHUNKS, CACHE_WORDS = 150_000, 200_000
 MAX_PIVOTS = 4000
 
 PIECES = "doc_id {0}, start long, length long, ids_crc32 long, doc_tokens long"
@@ -92,7 +92,7 @@ class ChunkTokenizer:
         self._bpe = self._tok.model.tokenize
         self._word = _Recent(self._of_word, CACHE_WORDS)
         self._chunk = _Recent(self._of_plain_chunk, CACHE_CHUNKS)
-        self._other = _Recent(self._ids, CACHE_CHUNKS // 10)
+        self._other = _Recent(self._ids, CACHE_CHUNKS // 25)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

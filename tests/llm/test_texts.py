@@ -538,3 +538,12 @@ def test_packing(spark):
         assert at <= 4096
     assert len(seqs) <= 1.1 * sum(r.length for r in got) / 4096 + 2
     assert packing.pack_documents(odd.empty(spark)).count() == 0
+
+
+def test_packing_makes_a_frequent_chunk_once():
+    """140,000 different chunks in turn are made once each, not again in the second round."""
+    tok, made = packing.ChunkTokenizer(packing.tokenizer_path()), []
+    tok._chunk._make = lambda c: made.append(c) or b""
+    for _ in range(2):
+        tok.encode(" ".join(f"a{i}" for i in range(140_000)))
+    assert len(made) == 140_000
