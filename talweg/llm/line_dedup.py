@@ -8,9 +8,10 @@ documents, the first by (doc_id, line number) stays.
 
 Each line of a bucket of equal bands is first paired with the bucket's first.  Of all other pairs of a bucket of at
 most ``SMALL`` lines those are tested whose lines are then in different components.  In a larger one the lines outside
-the largest component are compared with all others of the bucket, in blocks of sketches.  A block with few agreeing pairs
-adds them to those to be tested; one with many is tested whole, in blocks that hold the lines themselves.  So no pair that
-shares a band is left out, but pairs whose sketches agree in too few bins and pairs of one component are not verified.
+the largest component are compared with all others of the bucket, in blocks of sketches.  A block with no more agreeing
+pairs than lines in them adds the pairs to those to be tested; else these lines are tested against each other, in blocks that
+hold them once.  So no pair that shares a band is left out, but pairs whose sketches agree in too few bins and pairs of one
+component are not verified.
 
 Defined cases: blank lines are no candidates and stay; a line shorter than a shingle
 is one shingle; null text stays null and has no lines; a document may be left with
@@ -314,30 +315,31 @@ def _open_lines(large: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _open_pairs(e: DataFrame) -> DataFrame:
     """(a, b, bucket): pairs of the lines outside a bucket's largest component with all not of their own, if
-    their sketches agree; for a block with more of them than a small bucket may have, its bucket alone."""
+    their sketches agree, with no bucket; for a block with more of them than lines in them, these lines (a) and the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
+            a, b, lines = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
             for bucket, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 x, y = (s.values.field("id").to_numpy() for s in (left, right))
                 for k, j, open_ in _open_blocks(left, right):
                     p, o = open_.nonzero()
-                    if len(p) > SMALL // 2 * sum(open_.shape):
-                        dense.add(bucket)
+                    own = np.union1d(x[k + p], y[j + o])
+                    if len(p) > len(own):
+                        lines.update((i, bucket) for i in own.tolist())
                     else:
                         a.append(x[k + p])
                         b.append(y[j + o])
-            a, b, dense = np.concatenate(a), np.concatenate(b), pa.array(dense, pa.int64())
-            none, zeros = pa.nulls(len(a), pa.int64()), pa.nulls(len(dense), pa.int64())
-            columns = [(pa.array(np.minimum(a, b)), zeros), (pa.array(np.maximum(a, b)), zeros), (none, dense)]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "bucket"])
+            a, b = np.concatenate(a), np.concatenate(b)
+            line, bucket = zip(*lines, strict=True) if lines else ((), ())
+            columns = [(np.minimum(a, b), line), (np.maximum(a, b), pa.nulls(len(line), pa.int64())), (pa.nulls(len(a), pa.int64()), bucket)]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()) for x in both]) for both in columns], names=["a", "b", "bucket"])
 
     return _block_pairs(e, F.count("*") / BLOCK, ["id", "root", "bits", "more"]).mapInArrow(run, "a long, b long, bucket long")
 
 
 def _dense_links(e: DataFrame) -> DataFrame:
-    """(a, b) components joined by similar lines of the buckets, the lines outside the largest one tested against all not of their own."""
+    """(a, b) components joined by similar ones of the given lines of buckets, those outside the largest one tested against all not of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,8 +371,8 @@ def _cross_links(pairs: DataFrame, large: DataFrame, roots: DataFrame, lines: Da
     if not large.isEmpty():
         e = _open_lines(large, roots)
         found = cut(_open_pairs(e))
-        pairs = pairs.unionByName(found.filter("a IS NOT NULL").select("a", "b"))
-        dense = cut(e.join(found.filter("a IS NULL").select("bucket").distinct(), "bucket"))
+        pairs = pairs.unionByName(found.filter("b IS NOT NULL").select("a", "b"))
+        dense = cut(e.join(found.filter("b IS NULL").select("bucket", F.col("a").alias("id")).distinct(), ["bucket", "id"], "left_semi"))
     pairs = cut(with_roots(pairs.distinct()).filter("root_a != root_b"))
     links = _verified(pairs, lines).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     if dense is not None and not dense.isEmpty():

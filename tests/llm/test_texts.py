@@ -221,6 +221,17 @@ def test_line_dedup_large_buckets_in_blocks(spark, monkeypatch):
     assert got == Counter((i, want[i, t] if t is not None else None) for i, t in rows)
 
 
+def test_line_dedup_large_bucket_makes_no_row_a_pair(spark):
+    """Sixty lines of a template, all with agreeing sketches, are given as lines, not as 1770 pairs; 59 alone is in the main component."""
+    lines, _ = family(60, 0)
+    bits = line_dedup.sketches(line_dedup.signatures(lines), np.zeros(60)).view(np.int64).tolist()
+    assert line_dedup.sketches_agree(*np.array(bits, np.int64).view(np.uint64)[[[0], [1]]]).all()
+    e = spark.createDataFrame([(7, i, b, m, i, 59) for i, (b, m) in enumerate(bits)], "bucket long, id long, bits long, more long, root long, main long")
+    got = line_dedup._open_pairs(e).collect()
+    assert len(got) <= 120 and {r.a for r in got if r.b is None and r.bucket == 7} == set(range(59))
+    assert {(r.a, r.b) for r in got if r.b is not None} == {(i, 59) for i in range(59)}
+
+
 def test_line_dedup_clashing_columns(spark):
     rows = odd.documents(spark).withColumns({c: F.lit("kept") for c in ("drop", "root", "id", "line")})
     got = line_dedup.dedup_lines(rows).collect()
