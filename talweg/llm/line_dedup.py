@@ -359,8 +359,11 @@ def _dense_links(e: DataFrame) -> DataFrame:
     return _block_pairs(e, size, ["root", "bits", "more", "line"]).mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross_links(pairs: DataFrame, large: DataFrame, roots: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b) components joined by similar lines of the untested pairs and of large buckets, given the (node, root) found so far."""
+def _cross_links(pairs: DataFrame, large: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) components joined by similar lines of the untested pairs and of large buckets, given the (node, root) found so far.
+
+    Texts are read for the lines to be tested alone; most lines of large buckets agree with none of another component.
+    """
 
     def with_roots(pairs: DataFrame) -> DataFrame:
         for c in ("a", "b"):
@@ -374,6 +377,8 @@ def _cross_links(pairs: DataFrame, large: DataFrame, roots: DataFrame, lines: Da
         pairs = pairs.unionByName(found.filter("b IS NOT NULL").select("a", "b"))
         dense = cut(e.join(found.filter("b IS NULL").select("bucket", F.col("a").alias("id")).distinct(), ["bucket", "id"], "left_semi"))
     pairs = cut(with_roots(pairs.distinct()).filter("root_a != root_b"))
+    ids = [pairs.select(F.col("a").alias("id")), pairs.select(F.col("b").alias("id"))] + ([] if dense is None else [dense.select("id")])
+    lines = _lines_of(docs, cut(reduce(DataFrame.unionByName, ids).distinct()))
     links = _verified(pairs, lines).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     if dense is not None and not dense.isEmpty():
         links = links.unionByName(_dense_links(cut(dense.join(lines, "id"))))
@@ -416,10 +421,9 @@ def line_components(docs: DataFrame) -> DataFrame:
     pairs = found.filter("a IS NOT NULL").select("a", "b", "first")
     heads = cut(pairs.filter("first").select("a", "b").distinct())
     large = found.filter("a IS NULL").select("bucket", "id", "bits", "more")
-    ids = [pairs.select(F.col("a").alias("id")), pairs.select(F.col("b").alias("id")), large.select("id")]
-    lines = _lines_of(docs, cut(reduce(DataFrame.unionByName, ids).distinct()))
-    roots = cut(components(cut(_verified(heads, lines))))
-    more = cut(_cross_links(pairs.filter("NOT first").select("a", "b"), large, roots, lines))
+    ids = heads.select(F.col("a").alias("id")).unionByName(heads.select(F.col("b").alias("id")))
+    roots = cut(components(cut(_verified(heads, _lines_of(docs, cut(ids.distinct()))))))
+    more = cut(_cross_links(pairs.filter("NOT first").select("a", "b"), large, roots, docs))
     if more.isEmpty():
         return roots
     # links between components, by their smallest ids

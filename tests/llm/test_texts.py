@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -232,6 +233,27 @@ def test_line_dedup_large_bucket_makes_no_row_a_pair(spark):
     assert {(r.a, r.b) for r in got if r.b is not None} == {(i, 59) for i in range(59)}
 
 
+def test_line_dedup_reads_no_far_lines_of_large_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(rng.choice(list("abcdefghij"), 300))) for i in range(70)]
+    none = pa.nulls(70, pa.int64())
+
+    def part(key, table):
+        """All lines in one bucket, given once."""
+        ids = common.gathered(table.column("a1"), "<i8")
+        ids, at = np.unique(ids, return_index=True)
+        bits = common.gathered(table.column("a2"), "<u8").reshape(-1, 2)[at].view(np.int64)
+        empty = none.slice(0, len(ids))
+        return pa.table({"a": empty, "b": empty, "bucket": np.full(len(ids), 7), "id": ids, "bits": bits[:, 0], "more": bits[:, 1], "first": np.zeros(len(ids), bool)})
+
+    read, real = [], line_dedup._lines_of
+    monkeypatch.setattr(line_dedup, "_pairs_of_part", part)
+    monkeypatch.setattr(line_dedup, "_lines_of", lambda docs, ids: (read.append(ids.count()), real(docs, ids))[1])
+    docs = line_dedup._line_ids(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert line_dedup.line_components(docs).count() == 0
+    assert sum(read) == 0
+
+
 def test_line_dedup_clashing_columns(spark):
     rows = odd.documents(spark).withColumns({c: F.lit("kept") for c in ("drop", "root", "id", "line")})
     got = line_dedup.dedup_lines(rows).collect()
