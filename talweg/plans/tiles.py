@@ -105,8 +105,11 @@ def tile_map(df: DataFrame, values: Sequence[str], kernel: Kernel, schema: str,
     return in_tiles(df.select("row", "col", *values), halo, size).groupBy("__tr", "__tc").applyInArrow(run, schema)
 
 
-def tile_join(df: DataFrame, values: Sequence[str], other: DataFrame, kernel: Callable[[Tile, pa.Table], dict[str, np.ndarray] | None], schema: str, halo: int = 0, size: int = TILE) -> DataFrame:
-    """Like ``tile_map``, with the rows of ``other`` (which has __tr, __tc) of the same tile."""
+def tile_join(df: DataFrame, values: Sequence[str], other: DataFrame, kernel: Callable[[Tile, pa.Table], dict[str, np.ndarray] | None], schema: str, halo: int = 0, size: int = TILE, only: DataFrame | None = None) -> DataFrame:
+    """Like ``tile_map``, with the rows of ``other`` (which has __tr, __tc) of the same tile.
+
+    ``only`` (__tr, __tc) restricts the tiles.
+    """
 
     def run(key: tuple, table: pa.Table, extra: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -115,6 +118,8 @@ def tile_join(df: DataFrame, values: Sequence[str], other: DataFrame, kernel: Ca
         return as_table(kernel(t, extra) if len(t.i) else None, schema)
 
     cells = in_tiles(df.select("row", "col", *values), halo, size)
+    if only is not None:
+        cells = cells.join(only, ["__tr", "__tc"], "left_semi")
     return cells.groupBy("__tr", "__tc").cogroup(other.groupBy("__tr", "__tc")).applyInArrow(run, schema)
 
 

@@ -217,6 +217,35 @@ def test_breach_single_cell(spark, size):
     np.testing.assert_allclose(dense(breach.breach_single_cell(grid(spark, SINGLE, "z", "double"), size), "z", (5, 5)), want)
 
 
+def _cut_in_order(z):
+    """Single-cell cuts of a whole array, pit after pit."""
+    z, (h, w) = np.pad(z, 3, constant_values=np.nan), z.shape
+    for i, j in np.argwhere(direction.pit_mask(z)).tolist():
+        own = z[i, j]
+        for (a, b), (p, q) in zip(breach.RING, breach.BETWEEN, strict=True):
+            far = z[i + a, j + b]
+            if far <= own or np.isnan(far):
+                z[i + p, j + q] = (own + (own - 2 * breach.EPSILON if np.isnan(far) else far)) / 2
+    return z[3 : h + 3, 3 : w + 3]
+
+
+@pytest.mark.parametrize(("levels", "nodata"), [(4, 0.0), (1000, 0.03)])
+def test_touching_pits_are_cut_tile_by_tile(spark, levels, nodata, monkeypatch):
+    """Pits that touch each other over the whole grid are no group of one task, and cuts are as in one run."""
+    rng = np.random.default_rng(levels)
+    z = np.where(rng.random((40, 90)) < nodata, np.nan, rng.integers(0, levels, (40, 90)).astype(float))
+
+    def never(edges):
+        raise AssertionError("a cluster of pits may be the whole grid")
+
+    monkeypatch.setattr(breach, "connected", never, raising=False)
+    want = _cut_in_order(z)
+    assert (want < z).sum() > 200
+    dem = grid(spark, np.nan_to_num(z, nan=-9999.0).tolist(), "z", "double", -9999.0)
+    for size in (8, 512):
+        np.testing.assert_array_equal(dense(breach.breach_single_cell(dem, size), "z", z.shape), want)
+
+
 @pytest.mark.parametrize("size", [2, 512])
 @pytest.mark.parametrize(
     ("changes", "want"),
