@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg.grid import STEPS, UNDEFINED, GridMeta, cell_xy, step_col, step_row, xy_cell
-from talweg.plans.flowgraph import MAX_ROUNDS, accumulation, trace
+from talweg.plans.flowgraph import MAX_ROUNDS, accumulation, lines_down, trace
 from talweg.plans.session import cut
 from talweg.plans.tiles import TILE, Tile, neighbour, tile_map
 
@@ -158,30 +158,18 @@ def longest_flow_paths(fdr: DataFrame, meta: GridMeta, points: DataFrame, length
 def flow_path_lines(fdr: DataFrame, meta: GridMeta, paths: DataFrame, size: int = TILE) -> DataFrame:
     """(dp_id, length_map, length_m, length_ft, coords) of longest_flow_paths rows.
 
-    Cells below a path's start are found by an accumulation of starts; only those cells, grouped
-    by the place where they all end, are walked.
+    Each start's cells are laid out once, as far as the farthest point that a path from it ends in; a path is
+    the part of them up to its own point.
     """
-    starts = paths.select(F.col("start_row").alias("row"), F.col("start_col").alias("col"), F.lit(1).cast("long").alias("one")).distinct()
-    end = trace(fdr, meta, None, into_stops=False, size=size).select("row", "col", "dir", "last")
-    # cells on some path: from a start down; the paths' union is small beside the grid
-    marked = below(fdr, meta, starts, size)
-    cells = end.join(marked, ["row", "col"]).withColumnRenamed("last", "root")
-    cells = cells.unionByName(fdr.filter(F.col("dir") >= UNDEFINED).select("row", "col", F.col("dir").cast("int").alias("dir"), F.lit(None).cast("long").alias("root")).join(paths.select("row", "col").distinct(), ["row", "col"])).dropDuplicates(["row", "col"])
-    walk = paths.join(end.select(F.col("row").alias("start_row"), F.col("col").alias("start_col"), F.col("last").alias("root")), ["start_row", "start_col"], "left")
-
-    def draw(key: tuple, own: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        code = dict(zip(zip(some["row"], some["col"], strict=True), some["dir"], strict=True))
-        out = []
-        for p in own.itertuples():
-            at, line = (p.start_row, p.start_col), [(p.start_row, p.start_col)]
-            while at != (p.row, p.col) and code.get(at, 9) < UNDEFINED and len(line) <= len(code) + 1:
-                r, c = STEPS[int(code[at])]
-                at = (at[0] + r, at[1] + c)
-                line.append(at)
-            out.append((p.fid, p.length, [{"row": int(r), "col": int(c)} for r, c in line]))
-        return pd.DataFrame(out, columns=["dp_id", "length_map", "cells"])
-
-    drawn = walk.groupBy("root").cogroup(cells.groupBy("root")).applyInPandas(draw, "dp_id long, length_map double, cells array<struct<row: long, col: long>>")
+    number = lambda r, c: meta.cell_id(F.col(r), F.col(c))
+    walk = cut(paths.select("fid", "length", "start_row", "start_col", number("start_row", "start_col").alias("start"), number("row", "col").alias("to"), F.struct("row", "col").alias("end")))
+    rows, step = np.arange(meta.nrows), step_length_of(meta)
+    least = max(min(float(np.min(step(rows, np.full(len(rows), d)))) for d in (0, 2, 6)), 1e-9) if meta.nrows else 1.0
+    most = F.least(F.floor(F.col("length") / least).cast("long") + 1, F.lit(meta.nrows * meta.ncols))
+    lines = lines_down(fdr, meta, walk.select("start", "to", most.alias("most")), size)
+    at = F.array_position("cells", F.col("end"))
+    drawn = walk.join(lines, "start", "left").withColumn("cells", F.coalesce("cells", F.array(F.struct(F.col("start_row").alias("row"), F.col("start_col").alias("col")))))
+    drawn = drawn.select(F.col("fid").alias("dp_id"), F.col("length").alias("length_map"), F.when(at > 0, F.slice("cells", F.lit(1), at.cast("int"))).otherwise(F.col("cells")).alias("cells"))
 
     def centre(s):
         x, y = cell_xy(meta, s["row"], s["col"])
@@ -190,11 +178,6 @@ def flow_path_lines(fdr: DataFrame, meta: GridMeta, paths: DataFrame, size: int
     return drawn.select("dp_id", "length_map", F.col("length_map").alias("length_m"), (F.col("length_map") * 3.28084).alias("length_ft"), F.transform("cells", centre).alias("coords"))
 
 
-def below(fdr: DataFrame, meta: GridMeta, starts: DataFrame, size: int = TILE) -> DataFrame:
-    """(row, col) of the cells on the ways down from ``starts``."""
-    return accumulation(fdr, meta, size, starts).filter("acc > 0").select("row", "col")
-
-
 def stream_cells(fac: DataFrame, threshold: int) -> DataFrame:
     return fac.filter(F.col("acc") >= threshold)
 

@@ -172,6 +172,98 @@ def _places(t: Tile, node: np.ndarray, meta: GridMeta) -> np.ndarray:
     return (node // meta.ncols - t.r0) * t.shape[1] + node % meta.ncols - t.c0
 
 
+def _ways(t: Tile, length, into_stops: bool, into_undefined: bool) -> tuple[np.ndarray, ...]:
+    """(last place in the tile or -1 in a cycle, place entered in another tile or -1, length, steps) of each place's path."""
+    nxt, exit_, used = successors(t, t.data["stop"], into_stops, into_undefined)
+    rows = (np.arange(t.shape[0])[:, None] + t.r0).repeat(t.shape[1], 1).ravel()
+    step = np.where(used >= 0, length(rows, np.maximum(used, 0)), 0.0)
+    at, total, steps = contract(nxt, step)
+    cyclic = nxt[at] != at
+    # the last step leaves the tile
+    leave = np.where(cyclic, -1, exit_[at])
+    total, steps = total + np.where(leave >= 0, step[at], 0.0), steps + (leave >= 0)
+    return np.where(cyclic, -1, at), leave, total, steps
+
+
+def node_graph(cells: DataFrame, meta: GridMeta, values: list[str], length, into_stops: bool, into_undefined: bool, size: int) -> DataFrame:
+    """(node, next, w, hops, end) of cells (row, col, dir, stop): where the paths of cells that flow enters leave their tile.
+
+    ``next`` is -1 and ``end`` the last cell where a path leaves no more; both are -1 in a cycle.  With ``spot``
+    among the values, cells marked by it are nodes as well.
+    """
+
+    def exits(t: Tile) -> dict[str, np.ndarray]:
+        _, exit_, _ = successors(t, t.data["stop"], into_stops, into_undefined)
+        ids = _ids(t, meta)
+        own = ids[(t.core & t.data["spot"]).ravel()] if "spot" in values else ids[:0]
+        return {"node": np.unique(np.append(ids[exit_[exit_ >= 0]], own))}
+
+    def links(t: Tile, entered: pa.Table) -> dict[str, np.ndarray]:
+        at, leave, total, steps = _ways(t, length, into_stops, into_undefined)
+        ids, node = _ids(t, meta), np.unique(entered.column("node").to_numpy())
+        p = _places(t, node, meta)
+        ends = leave[p] < 0
+        return {"node": node, "next": np.where(ends, -1, ids[leave[p]]), "w": total[p], "hops": steps[p], "end": np.where(at[p] >= 0, ids[at[p]], -1)}
+
+    entered = cut(tile_map(cells, values, exits, "node long", 1, size).distinct())
+    return cut(tile_join(cells, values, _tiled(entered, meta, size), links, "node long, next long, w double, hops long, end long", 1, size))
+
+
+def far_ends(graph: DataFrame) -> DataFrame:
+    """(node, last, total, steps) of a node graph: the last cell of each node's path, -1 for a cycle, and the way to it."""
+    done = double(graph.select("node", F.when(F.col("next") >= 0, F.col("next")).alias("next"), "w", "hops"))
+    # the last node's own way inside its tile
+    tail = graph.filter("next < 0").select(F.col("node").alias("last"), "end", F.col("w").alias("tail"), F.col("hops").alias("steps_left"))
+    return cut(done.join(tail, "last", "left").select("node", F.coalesce("end", F.lit(-1)).alias("last"), (F.col("total") + F.coalesce("tail", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("steps_left", F.lit(0))).alias("steps")))
+
+
+def lines_down(fdr: DataFrame, meta: GridMeta, ways: DataFrame, size: int = TILE) -> DataFrame:
+    """(start, cells) of the numbered cells ``start`` to ``to`` of ``ways`` (start, to, most): the cells (row, col) downstream of each start.
+
+    A line goes as far as the start's farthest ``to``, which may be undefined or nodata, or ``most`` steps where that is
+    in a cycle.  Each start gets the nodes on its way by doubling jumps, and each node its cells inside its tile, so no task
+    has more than one line or one tile at a time.
+    """
+    spots = ways.select(F.col("start").alias("id"), F.lit(False).alias("to")).unionByName(ways.select(F.col("to").alias("id"), F.lit(True).alias("to"))).groupBy("id").agg(F.max("to").alias("to"))
+    cells = fdr.select("row", "col", F.col("dir").cast("int").alias("dir")).withColumn("id", meta.cell_id(F.col("row"), F.col("col"))).join(spots, "id", "left")
+    cells = cut(cells.select("row", "col", "dir", F.coalesce(F.col("to") & (F.col("dir") >= UNDEFINED), F.lit(False)).alias("stop"), F.col("to").isNotNull().alias("spot")))
+    values = ["dir", "stop", "spot"]
+    graph = node_graph(cells, meta, values, lambda rows, d: np.ones(len(d)), True, True, size)
+    far = far_ends(graph).select("node", "last", "steps")
+    of = lambda name, more: far.select(F.col("node").alias(name), F.col("last").alias(f"{more}_last"), F.col("steps").alias(f"{more}_steps"))
+    both = ways.join(of("start", "a"), "start").join(of("to", "b"), "to", "left")
+    steps = F.col("a_steps") - F.col("b_steps")
+    known = (F.col("a_last") == F.col("b_last")) & (F.col("a_last") >= 0) & (steps >= 0)
+    chain = cut(both.groupBy("start").agg(F.max(F.when(known, steps).otherwise(F.col("most"))).alias("need")).select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("pos"), "need"))
+    jump = graph.filter("next >= 0").select("node", "next", "hops")
+    for _ in range(MAX_ROUNDS):
+        more = cut(chain.join(jump, "node").select("start", F.col("next").alias("node"), (F.col("pos") + F.col("hops")).alias("pos"), "need").filter("pos <= need"))
+        if not more.limit(1).count():
+            break
+        chain = cut(chain.unionByName(more))
+        ahead = jump.select(F.col("node").alias("next"), F.col("next").alias("far"), F.col("hops").alias("more"))
+        jump = cut(jump.join(ahead, "next").select("node", F.col("far").alias("next"), (F.col("hops") + F.col("more")).alias("hops")))
+
+    def walk(t: Tile, used: pa.Table) -> dict[str, np.ndarray]:
+        nxt, _, _ = successors(t, t.data["stop"], True)
+        node = used.column("node").to_numpy()
+        at, out = _places(t, node, meta), []
+        for k in range(len(t.i)):
+            out.append((node, np.full(len(node), k), at))
+            on = nxt[at] != at
+            node, at = node[on], nxt[at[on]]
+            if not len(at):
+                break
+        node, k, at = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        return {"node": node, "k": k, "row": at // t.shape[1] + t.r0, "col": at % t.shape[1] + t.c0}
+
+    used = _tiled(chain.select("node").distinct(), meta, size)
+    runs = tile_join(cells, values, used, walk, "node long, k long, row long, col long", 1, size)
+    spot = F.struct((F.col("pos") + F.col("k")).alias("pos"), "row", "col")
+    lines = chain.join(runs, "node").filter("pos + k <= need").groupBy("start").agg(F.array_sort(F.collect_list(spot)).alias("cells"))
+    return lines.select("start", F.transform("cells", lambda x: F.struct(x["row"].alias("row"), x["col"].alias("col"))).alias("cells"))
+
+
 def trace(fdr: DataFrame, meta: GridMeta, stops: DataFrame | None = None, step_length=None, into_stops: bool = False, into_undefined: bool = True, size: int = TILE) -> DataFrame:
     """(row, col, dir, last, dist, hops): the cell at which each cell's path ends, and the way to it.
 
@@ -187,31 +279,11 @@ def trace(fdr: DataFrame, meta: GridMeta, stops: DataFrame | None = None, step_l
         cells = cells.join(marks, ["row", "col"], "left").withColumn("stop", F.coalesce("stop", F.lit(False)))
     cells = cut(cells)
     length = step_length or (lambda rows, d: np.hypot(*np.array(STEPS, float)[d].T))
-
-    def ways(t: Tile) -> tuple[np.ndarray, ...]:
-        nxt, exit_, used = successors(t, t.data["stop"], into_stops, into_undefined)
-        rows = (np.arange(t.shape[0])[:, None] + t.r0).repeat(t.shape[1], 1).ravel()
-        step = np.where(used >= 0, length(rows, np.maximum(used, 0)), 0.0)
-        at, total, steps = contract(nxt, step)
-        cyclic = nxt[at] != at
-        # the last step leaves the tile
-        leave = np.where(cyclic, -1, exit_[at])
-        total, steps = total + np.where(leave >= 0, step[at], 0.0), steps + (leave >= 0)
-        return np.where(cyclic, -1, at), leave, total, steps
-
-    def exits(t: Tile) -> dict[str, np.ndarray]:
-        _, exit_, _ = successors(t, t.data["stop"], into_stops, into_undefined)
-        return {"node": np.unique(_ids(t, meta)[exit_[exit_ >= 0]])}
-
-    def links(t: Tile, entered: pa.Table) -> dict[str, np.ndarray]:
-        at, leave, total, steps = ways(t)
-        ids, node = _ids(t, meta), np.unique(entered.column("node").to_numpy())
-        p = _places(t, node, meta)
-        ends = leave[p] < 0
-        return {"node": node, "next": np.where(ends, -1, ids[leave[p]]), "w": total[p], "hops": steps[p], "end": np.where(at[p] >= 0, ids[at[p]], -1)}
+    values = ["dir", "stop"]
+    far = far_ends(node_graph(cells, meta, values, length, into_stops, into_undefined, size))
 
     def finish(t: Tile, far: pa.Table) -> dict[str, np.ndarray]:
-        at, leave, total, steps = ways(t)
+        at, leave, total, steps = _ways(t, length, into_stops, into_undefined)
         ids = _ids(t, meta)
         node, last = far.column("node").to_numpy(), far.column("last").to_numpy()
         order = np.argsort(node)
@@ -224,13 +296,6 @@ def trace(fdr: DataFrame, meta: GridMeta, stops: DataFrame | None = None, step_l
         p = t.i * t.shape[1] + t.j
         return {"row": t.rows, "col": t.cols, "dir": t.own(t.data["dir"]), "last": end[p], "dist": dist[p], "hops": hops[p]}
 
-    values = ["dir", "stop"]
-    entered = tile_map(cells, values, exits, "node long", 1, size).distinct()
-    graph = cut(tile_join(cells, values, _tiled(cut(entered), meta, size), links, "node long, next long, w double, hops long, end long", 1, size))
-    done = double(graph.select("node", F.when(F.col("next") >= 0, F.col("next")).alias("next"), "w", "hops"))
-    # the last node's own way inside its tile
-    tail = graph.filter("next < 0").select(F.col("node").alias("last"), "end", F.col("w").alias("tail"), F.col("hops").alias("steps_left"))
-    far = cut(done.join(tail, "last", "left").select("node", F.coalesce("end", F.lit(-1)).alias("last"), (F.col("total") + F.coalesce("tail", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("steps_left", F.lit(0))).alias("steps")))
     # every tile gets what its exits enter, so the lookup table goes to the tiles around a node
     around = in_tiles(far.withColumns({"row": F.floor(F.col("node") / meta.ncols).cast("long"), "col": F.col("node") % meta.ncols}), 1, size)
     out = tile_join(cells, values, around, finish, "row long, col long, dir int, last long, dist double, hops long", 1, size)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from grids import dense, grid
-from talweg.grid import GridMeta
+from talweg.grid import STEPS, GridMeta
 from talweg.operators import breach, direction, fill, network
 from talweg.plans.flowgraph import accumulation
 
@@ -189,6 +189,30 @@ def test_longest_paths(spark, size):
     assert cells[3] == [(0, 2), (1, 2), (2, 2), (3, 2)]
 
 
+def test_paths_to_one_outlet_are_no_group(spark):
+    """All paths end in one place; they are laid out tile by tile and equal those walked cell by cell."""
+    rng = np.random.default_rng(3)
+    fdr = rng.choice([2, 1, 3], (24, 30))
+    fdr[:, 0], fdr[:, -1] = 2, 3
+    fdr[0], fdr[0, 0] = 4, 8
+    m, f = meta(fdr.tolist(), gt=(0, 10, 0, 0, 0, -10)), grid(spark, fdr.tolist(), "dir", "int")
+    spots = {(int(i // 30), int(i % 30)): n for n, i in enumerate(rng.choice(720, 60, False))} | {(0, 0): 60}
+    points = spark.createDataFrame([(n, r, c) for (r, c), n in spots.items()], "fid long, row long, col long")
+    paths = network.longest_flow_paths(f, m, points, size=8).persist()
+    want = {}
+    for p in paths.collect():
+        line = [(p.start_row, p.start_col)]
+        while line[-1] != (p.row, p.col):
+            dr, dc = STEPS[fdr[line[-1]]]
+            line.append((line[-1][0] + dr, line[-1][1] + dc))
+        want[p.fid] = line
+    assert len(want) == 61 and max(map(len, want.values())) > 24
+    for size in (4, 512):
+        lines = network.flow_path_lines(f, m, paths, size)
+        assert "Pandas" not in lines._jdf.queryExecution().toString()
+        assert {r.dp_id: [(int(-c.y // 10), int(c.x // 10)) for c in r.coords] for r in lines.collect()} == want
+
+
 @pytest.mark.parametrize("size", [2, 512])
 def test_streams(spark, size):
     fac, fdr, m = grid(spark, ACC2, "acc", "long"), grid(spark, FDR2, "dir", "tinyint"), meta(FDR2)
