@@ -253,41 +253,52 @@ def basin_boundary(labels: DataFrame, size: int = TILE) -> DataFrame:
 
 def downstream_basins(graph: DataFrame) -> DataFrame:
     """(basin_id, into): each basin with itself and all basins downstream of it, by doubling."""
-    pairs = cut(graph.select("basin_id", F.col("ds_basin_id").alias("into")).distinct())
-    for _ in range(min(MAX_ROUNDS, pairs.count().bit_length() + 1)):
-        more = pairs.join(pairs.select(F.col("basin_id").alias("into"), F.col("into").alias("far")), "into").select("basin_id", F.col("far").alias("into"))
-        new = cut(pairs.unionByName(more).distinct())
-        if new.count() == pairs.count():
+    pairs = jump = cut(graph.select("basin_id", F.col("ds_basin_id").alias("into")).distinct())
+    n = pairs.count()
+    for _ in range(min(MAX_ROUNDS, n.bit_length() + 1)):
+        ahead = jump.select(F.col("basin_id").alias("into"), F.col("into").alias("far"))
+        new = cut(pairs.unionByName(pairs.join(ahead, "into").select("basin_id", F.col("far").alias("into"))).distinct())
+        if (more := new.count()) == n:
             break
-        pairs = new
+        jump = cut(jump.join(ahead, "into").select("basin_id", F.col("far").alias("into")).distinct())
+        pairs, n = new, more
     return pairs
 
 
-def basin_polygon_edges(labels: DataFrame, graph: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+#: The side towards each of four directions, as the corners that it runs between clockwise on the map.
+SIDES = {2: (0, 0, 0, 1), 0: (0, 1, 1, 1), 6: (1, 1, 1, 0), 4: (1, 0, 0, 0)}
+
+
+def basin_polygon_edges(labels: DataFrame, graph: DataFrame, wanted: DataFrame | None = None, size: int = TILE) -> DataFrame:
     """(BasinID, r0, c0, r1, c1): sides of cells, as corner numbers, that bound a basin with all that drains into it.
 
-    A side bounds the basins that hold one of its two cells but not the other.  ``wanted`` (basin_id)
-    restricts the basins.
+    A side bounds the basins that hold one of its two cells but not the other; which these are is found once for
+    each pair of labels that meet.  ``wanted`` (basin_id) restricts the basins.
     """
-    own = labels.filter("basin_id <> 0").select("row", "col", "basin_id")
-    sides = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("a", "b", "c", "d"), s, strict=True))) for s in ((0, 0, 0, 1), (0, 1, 1, 1), (1, 1, 1, 0), (1, 0, 0, 0))))
-    down = downstream_basins(graph)
-    into = own.select("basin_id").distinct().select("basin_id", F.col("basin_id").alias("into")).unionByName(down.select("basin_id", "into"))
+
+    def kernel(t: Tile) -> dict[str, np.ndarray]:
+        b, out = t.data["basin_id"], []
+        for d, corners in SIDES.items():
+            other = t.own(neighbour(b, d, 0))
+            at = (t.own(b) != 0) & (other != t.own(b))
+            r, c = t.rows[at], t.cols[at]
+            out.append((t.own(b)[at], other[at], *(x + k for x, k in zip((r, c, r, c), corners, strict=True))))
+        return dict(zip(("basin_id", "other", "r0", "c0", "r1", "c1"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
+
+    sides = cut(tile_map(labels, ["basin_id"], kernel, "basin_id long, other long, r0 long, c0 long, r1 long, c1 long", 1, size))
+    own = sides.select("basin_id").distinct()
+    into = own.select("basin_id", F.col("basin_id").alias("into")).unionByName(downstream_basins(graph).select("basin_id", "into")).distinct()
+    into = cut(into)
+    meet = sides.select("basin_id", "other").distinct().join(into, "basin_id")
     if wanted is not None:
-        into = into.join(wanted.select(F.col("basin_id").alias("into")).distinct(), "into", "left_semi")
-    # sides between two cells of one label cannot bound anything, so they cancel first
-    each = own.select("basin_id", "row", "col", F.explode(sides).alias("s")).select(
-        "basin_id", *((F.col(x) + F.col(f"s.{k}")).alias(n) for x, k, n in (("row", "a", "r0"), ("col", "b", "c0"), ("row", "c", "r1"), ("col", "d", "c1")))
-    )
-    key = [F.least("r0", "r1").alias("x0"), F.least("c0", "c1").alias("y0"), F.greatest("r0", "r1").alias("x1"), F.greatest("c0", "c1").alias("y1")]
-    edge = each.groupBy("basin_id", *key).agg(F.count("*").alias("n"), F.first(F.struct("r0", "c0", "r1", "c1")).alias("e")).filter("n = 1")
-    far = edge.join(into, "basin_id").groupBy("into", "x0", "y0", "x1", "y1").agg(F.count("*").alias("n"), F.first("e").alias("e")).filter("n = 1")
-    return far.select(F.col("into").alias("BasinID"), "e.r0", "e.c0", "e.r1", "e.c1")
-
-
-def basin_polygons(labels: DataFrame, graph: DataFrame, meta: GridMeta, wanted: DataFrame | None = None) -> DataFrame:
+        meet = meet.join(wanted.select(F.col("basin_id").alias("into")).distinct(), "into", "left_semi")
+    bounds = meet.join(into.withColumnRenamed("basin_id", "other"), ["other", "into"], "left_anti")
+    return sides.join(bounds, ["basin_id", "other"]).select(F.col("into").alias("BasinID"), "r0", "c0", "r1", "c1")
+
+
+def basin_polygons(labels: DataFrame, graph: DataFrame, meta: GridMeta, wanted: DataFrame | None = None, size: int = TILE) -> DataFrame:
     """(BasinID, coords): the outer ring of each basin with all that drains into it, clockwise on the map from its top-left corner."""
-    edges = basin_polygon_edges(labels, graph, wanted)
+    edges = basin_polygon_edges(labels, graph, wanted, size)
     g = meta.gt
 
     def ring(pdf: pd.DataFrame) -> pd.DataFrame:

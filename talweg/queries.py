@@ -146,13 +146,13 @@ def basin_boundary(spark, sf_dir):
 def basin_polygon_sides(spark, sf_dir):
     fdr, meta = _valley(spark, sf_dir)
     labels, graph = network.basins(fdr, meta, points(spark, sf_dir, meta), size=SIZE)
-    return network.basin_polygon_edges(cut(labels), graph).groupBy("BasinID").agg(F.count("*").alias("sides"))
+    return network.basin_polygon_edges(cut(labels), graph, size=SIZE).groupBy("BasinID").agg(F.count("*").alias("sides"))
 
 
 def basin_polygons(spark, sf_dir):
     fdr, meta = _valley(spark, sf_dir)
     labels, graph = network.basins(fdr, meta, points(spark, sf_dir, meta), size=SIZE)
-    return network.basin_polygons(cut(labels), graph, meta)
+    return network.basin_polygons(cut(labels), graph, meta, size=SIZE)
 
 
 def flow_length(spark, sf_dir):

@@ -157,6 +157,27 @@ def test_basins_of_points(spark, size):
     assert network.basin_polygons(got, graph, m).count() == 3
 
 
+def test_sides_between_basins_are_found_by_tile(spark):
+    """Only sides where labels meet are rows, not four a cell; those that bound a basin and its upstream are as counted cell by cell."""
+    labels = np.random.default_rng(2).integers(0, 5, (12, 14)).repeat(2, 0).repeat(2, 1)
+    down = {1: 2, 2: 4, 3: 4}
+    graph = spark.createDataFrame(list(down.items()), "basin_id long, ds_basin_id long")
+    assert {tuple(r) for r in network.downstream_basins(graph).collect()} == {(1, 2), (1, 4), (2, 4), (3, 4)}
+    want = set()
+    for basin, parts in {1: [1], 2: [1, 2], 3: [3], 4: [1, 2, 3, 4]}.items():
+        inside = np.pad(np.isin(labels, parts), 1)
+        for r, c in np.argwhere(inside).tolist():
+            beside = {(-1, 0): (0, 0, 0, 1), (0, 1): (0, 1, 1, 1), (1, 0): (1, 1, 1, 0), (0, -1): (1, 0, 0, 0)}
+            want |= {(basin, r - 1 + a, c - 1 + b, r - 1 + x, c - 1 + y) for (i, j), (a, b, x, y) in beside.items() if not inside[r + i, c + j]}
+    for size in (5, 512):
+        edges = network.basin_polygon_edges(grid(spark, labels.tolist(), "basin_id", "long"), graph, size=size)
+        assert "Generate" not in edges._jdf.queryExecution().toString()
+        got = [tuple(r) for r in edges.collect()]
+        assert len(got) == len(want) and set(got) == want
+    only = network.basin_polygon_edges(grid(spark, labels.tolist(), "basin_id", "long"), graph, spark.createDataFrame([(2,)], "basin_id long"))
+    assert {tuple(r) for r in only.collect()} == {e for e in want if e[0] == 2}
+
+
 LENGTH = [
     ([[4, 4, 4, 4, 4], [0, 0, 0, 0, 2], [2, 4, 4, 4, 4], [0, 0, 0, 0, 2], [2, 4, 4, 4, 4]], [(1, 0, 0)], [[0, 10, 20, 30, 40], [90, 80, 70, 60, 50], [100, 110, 120, 130, 140], [190, 180, 170, 160, 150], [200, 210, 220, 230, 240]]),
     ([[0, 0, 0, 0, 9]], [(1, 0, 4)], [[40, 30, 20, 10, 0]]),
