@@ -327,6 +327,15 @@ def test_breach_is_tile_invariant_and_only_lowers(spark):
         breach.breach(dem, 0)
 
 
+def test_least_cost_breach_makes_no_clusters(spark, monkeypatch):
+    """Its first step are the single-cell cuts, of which no group of touching pits is one task."""
+    monkeypatch.setattr(breach, "connected", None, raising=False)
+    z = np.random.default_rng(8).integers(0, 40, (24, 40)).astype(float)
+    dem = grid(spark, z.tolist(), "z", "double")
+    one, two = (dense(breach.breach(dem, 3, size=s), "z", z.shape) for s in (8, 512))
+    assert (one == two).all() and (one <= _cut_in_order(z)).all()
+
+
 def test_haversine():
     rad = np.radians
     assert abs(network.haversine(0, 0, rad(1.0), 0) / 111195 - 1) < 0.01
